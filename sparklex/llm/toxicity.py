@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: presence of its lower-cased words, word pairs, and pairs with one word
-left out, hashed to 2**BITS slots. Each coordinate has its own learning rate; L1 keeps most
+Features of a text: presence of its lower-cased words, their stems (first STEM bytes), word
+pairs, and pairs with one word left out, hashed to 2**BITS slots. Each coordinate has its own learning rate; L1 keeps most
 weights at zero, so what is broadcast is two short arrays (at most 2**BITS entries).
 
 Fit on a bounded sample of labelled rows: at most `max_rows`, those with the least hash of
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, slices, words
+from ._text import Words, mix, slices, words
 
-BITS, MAX_CHARS = 20, 200_000
+BITS, MAX_CHARS, STEM = 20, 200_000, 6
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +31,9 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h, row = w.hashes(), w.rows()
     parts, rows = [np.zeros(len(col), np.uint64)], [np.arange(len(col))]
     shift = np.uint64(64 - BITS)
+    stem = mix(Words(w.buf, w.starts, np.minimum(w.ends, w.starts + STEM), w.first).hashes() + np.uint64(0x7F4A7C15))
+    parts.append((stem >> shift) | np.uint64(1))
+    rows.append(row)
     for gap, salt in ((0, 0), (1, 0x51ED270B), (2, 0x2545F491)):
         if gap == 0:
             g, r = h, row
@@ -43,7 +46,7 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def fit(col: pa.Array, y: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def fit(col: pa.Array, y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.1, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) that are not zero, by follow-the-regularised-leader with per-coordinate rates."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     each = []
@@ -69,7 +72,7 @@ def fit(col: pa.Array, y: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1:
     return at, w[at]
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 16_000) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> tuple[np.ndarray, np.ndarray]:
     """Fit on labelled documents with crc32(doc_id as text) mod held_out not 0."""
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     lab = lab.where(F.crc32(F.col("_id").cast("string")) % held_out != 0).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
@@ -93,7 +96,7 @@ def scores(col: pa.Array, at: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 16_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows))
 
@@ -106,7 +109,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: in
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 16_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> DataFrame:
     """docs without the rows whose score is 0.5 or more; no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows))
     at = docs.columns.index("text")
