@@ -9,6 +9,10 @@ Level 7 takes anchors only: of the 7-word runs inside each 13-word window the on
 least hash. Equal windows have equal anchors, so a window that repeats has a repeating
 anchor; about a quarter of all runs are anchors.
 
+Exact copies come first: a document whose whole text also stands under a smaller doc_id (by
+MD5) loses all windows there and then, and puts no anchors or windows into the levels. All
+joins with texts read one exchange of them by doc_id.
+
 Hashes have 64 bits. A wrong hit needs a collision of both the anchor and the window.
 
 Defined results: a null text has no words (digest of the empty string); rows with a null
@@ -67,7 +71,14 @@ def _pairs(doc: list, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids[row])], ["h", "d"])
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
+def _copies(src: DataFrame) -> DataFrame:
+    """(doc_id, copies): MD5s of those texts of a document that also stand under a smaller doc_id."""
+    rows = src.select("doc_id", F.md5("text").alias("m")).where("m is not null")
+    low = rows.groupBy("m").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("m", "low")
+    return rows.join(low, "m").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("m").alias("copies"))
+
+
+def _anchor_rows(originals: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b.column(1)):
@@ -76,12 +87,12 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 where, one = np.unique(where, return_index=True)
                 yield _pairs(b.column(0)[i:j].to_pylist(), w.rows()[where], g[one])
 
-    return _source(docs).where("doc_id is not null").mapInArrow(run, "h long, d long")
+    return originals.select("doc_id", "text").mapInArrow(run, "h long, d long")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(d, h array): of rows (h, d) those whose h is in two documents, gathered by document, with the least document of each."""
-    low = rows.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h", "low")
+    """Of rows (h, d) those whose h occurs again, with `low`, the least document that has it."""
+    low = rows.groupBy("h").agg(F.min("d").alias("low"), F.count("*").alias("c")).where("c > 1").select("h", "low")
     return rows.join(low, "h").select("d", "h", "low")
 
 
@@ -132,8 +143,10 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     kept is the remaining words joined by one space; longest is the greatest doubled length
     (window, 2*window, ...) of which every part repeats, 0 if nothing does.
     """
-    src = _source(docs)
-    cand = _repeated(_anchor_rows(docs, window)).groupBy("d").agg(F.collect_set("h").alias("hs"))
+    every = _source(docs)
+    src = every.where("doc_id is not null")
+    copied = src.join(_copies(src), "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))).select("doc_id", "text", "copy")
+    cand = _repeated(_anchor_rows(copied.where("not copy"), window)).groupBy("d").agg(F.collect_set("h").alias("hs"))
     marked = src.join(cand.withColumnRenamed("d", "doc_id"), "doc_id")
     late = _repeated(_window_rows(marked, window)).where("d > low").groupBy("d").agg(F.collect_set("h").alias("hs"))
 
@@ -142,13 +155,16 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             for i, j in slices(b.column(1)):
                 w = words(b.column(1)[i:j])
                 at, g = windows(w.hashes(), w.first, window)
-                hs = b.column(2)[i:j]
+                hs, copy = b.column(2)[i:j], b.column(3)[i:j].to_pylist()
                 edge = np.searchsorted(at, w.first)
                 n, gone_n, sha, longest, text = w.counts, [], [], [], []
                 for r in range(j - i):
                     gone = np.zeros(n[r], bool)
                     far = 0
-                    if hs[r].is_valid and edge[r + 1] > edge[r]:
+                    if copy[r] and n[r] >= window:
+                        gone[:] = True
+                        far = doubled(np.arange(n[r] - window + 1), window)
+                    elif hs[r].is_valid and edge[r + 1] > edge[r]:
                         hit = at[edge[r] : edge[r + 1]][_member(np.sort(np.asarray(hs[r].values)), g[edge[r] : edge[r + 1]].view(np.int64))] - w.first[r]
                         gone = covered(int(n[r]), hit, window)
                         far = doubled(hit, window)
@@ -164,4 +180,6 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
                     text.append(buf.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n.astype(np.int64)), pa.array(gone_n, pa.int64()), pa.array(sha), pa.array(longest, pa.int64()), pa.array(text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest", "kept"])
 
-    return src.join(late.withColumnRenamed("d", "doc_id"), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string")
+    found = copied.join(late.withColumnRenamed("d", "doc_id"), "doc_id", "left").select("doc_id", "text", "hs", "copy")
+    nameless = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("hs"), F.lit(False).alias("copy"))
+    return found.union(nameless).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string")
