@@ -17,10 +17,22 @@ def shared(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or at.get()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the shared folder."""
+    """df.checkpoint() into the shared folder; the shuffle files behind it go at once, as nothing reads them again."""
+    conf = df.sparkSession.conf
     shared(df.sparkSession)
-    return df.checkpoint()
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan of its own, made under that setting
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def partitions(df: DataFrame) -> int:

@@ -10,8 +10,9 @@ least hash. Equal windows have equal anchors, so a window that repeats has a rep
 anchor; about a quarter of all runs are anchors.
 
 Exact copies come first: a document whose whole text also stands under a smaller doc_id (by
-MD5) loses all windows there and then, and puts no anchors or windows into the levels. All
-joins with texts read one exchange of them by doc_id.
+MD5) loses all windows there and then, and puts no anchors or windows into the levels. The
+repeated anchors are cut off as a checkpoint, so the shuffles of anchors and of windows are
+never on disk together; each side's joins with texts read one exchange of them by doc_id.
 
 Hashes have 64 bits. A wrong hit needs a collision of both the anchor and the window.
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import cut
 from ._text import distinct_pairs, slices, windows, words
 
 
@@ -146,7 +148,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     every = _source(docs)
     src = every.where("doc_id is not null")
     copied = src.join(_copies(src), "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))).select("doc_id", "text", "copy")
-    cand = _repeated(_anchor_rows(copied.where("not copy"), window)).groupBy("d").agg(F.collect_set("h").alias("hs"))
+    # cut: the anchors' shuffles, the largest here, are gone before the windows are written
+    cand = cut(_repeated(_anchor_rows(copied.where("not copy"), window)).groupBy("d").agg(F.collect_set("h").alias("hs")))
     marked = src.join(cand.withColumnRenamed("d", "doc_id"), "doc_id")
     late = _repeated(_window_rows(marked, window)).where("d > low").groupBy("d").agg(F.collect_set("h").alias("hs"))
 
