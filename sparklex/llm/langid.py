@@ -82,12 +82,11 @@ class LanguageFilter:
         share = np.zeros((n, len(self.langs)))
         for a, b in slices(col, 1 << 20):
             row, g = ngrams(col[a:b])
-            one, back = np.unique(g, return_inverse=True)
-            m = self.masks(one)
+            m = self.masks(g)  # three probes of a small table cost less than sorting repeated n-grams out
             total = np.maximum(np.bincount(row, minlength=b - a), 1)
             for k in range(len(self.langs)):
-                hit = ((m[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(np.float64)
-                hits = np.bincount(row, hit[back], b - a) / total
+                hit = ((m[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+                hits = np.bincount(row[hit], minlength=b - a) / total
                 share[a:b, k] = np.maximum(0, (hits - self.false[k]) / max(1e-9, 1 - self.false[k]))
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(col.cast(pa.large_string()), r"\p{L}"), False))
         if not self.langs:
