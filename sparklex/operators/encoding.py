@@ -88,6 +88,34 @@ def char_to_token(e: Column, pos: Column, sequence: int | None = None) -> Column
     return F.get(hit, F.lit(0))["i"]
 
 
+def _numbered(e: Column) -> Column:
+    """Each token's index i, word, sequence and character span."""
+    z = F.arrays_zip(e["word_ids"].alias("w"), e["sequence_ids"].alias("s"), e["offsets"].alias("o"))
+    return F.transform(z, lambda x, i: F.struct(i.cast("long").alias("i"), x["w"].alias("w"), x["s"].alias("s"), x["o"].alias("o")))
+
+
+def word_token_indices(e: Column, word: Column) -> Column:
+    """Indices of all tokens of a word, whatever their sequence."""
+    return F.transform(F.filter(_numbered(e), lambda x: x["w"] == word), lambda x: x["i"])
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
+def word_to_tokens(e: Column, word: Column, sequence: int = 0) -> Column:
+    """{start, end} of a word's tokens, end exclusive; null if the sequence has no such word."""
+    at = F.transform(F.filter(_numbered(e), lambda x: (x["w"] == word) & (x["s"] == sequence)), lambda x: x["i"])
+    return _span(F.array_min(at), F.array_max(at) + 1)
+
+
+def word_to_chars(e: Column, word: Column, sequence: int = 0) -> Column:
+    """{start, end} of the characters under a word's tokens; null if there are none."""
+    span = word_to_tokens(e, word, sequence)
+    under = F.filter(_numbered(e), lambda x: (x["i"] >= span["start"]) & (x["i"] < span["end"]) & x["o"].isNotNull())
+    return _span(F.array_min(F.transform(under, lambda x: x["o"]["start"])), F.array_max(F.transform(under, lambda x: x["o"]["end"])))
+
+
 def n_words(e: Column) -> Column:
     return F.coalesce(F.array_max(e["word_ids"]) + 1, F.lit(0).cast("long"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Callable
+from contextlib import suppress
 from pathlib import Path
 
 FILES = ("tokenizer.json", "tokenizer_config.json", "vocab.json", "merges.txt")
@@ -31,13 +32,17 @@ class Hub:
         return at
 
     def resolve(self, where: str, revision: str = "main", local_files_only: bool = False) -> Path:
-        """A local file, a directory that holds one, or a repository's file."""
+        """A local path (in a directory, its tokenizer.json if there), or a repository's tokenizer.json; failing that its vocab.json, with merges.txt beside it if that can be had."""
         p = Path(where)
-        if p.is_file():
-            return p
-        if (p / FILES[0]).is_file():
-            return p / FILES[0]
-        return self.download(where, FILES[0], revision, local_files_only)
+        if p.exists():
+            return p / FILES[0] if (p / FILES[0]).is_file() else p
+        try:
+            return self.download(where, FILES[0], revision, local_files_only)
+        except OSError:
+            vocab = self.download(where, "vocab.json", revision, local_files_only)
+        with suppress(OSError):
+            self.download(where, "merges.txt", revision, local_files_only)
+        return vocab
 
     def clear(self, repo: str) -> None:
         shutil.rmtree(self.path(repo).parent, ignore_errors=True)

@@ -191,6 +191,10 @@ def test_encoding_ops(spark):
     flat = E.to_flat(df, "k")
     assert sorted(tuple(r)[2:] for r in E.word_spans(flat, "k").collect()) == [(0, 0, 2, 0, 5), (1, 2, 4, 6, 11)]
     assert E.to_nested(flat, "k").first()["encoding"] == df.first()["encoding"]
+    e = flat_encoding(4, [(0, 3), (3, 5), (6, 9), (9, 11)], [0, 0, 1, 1])
+    look = lambda f, w, *seq: (x := row(f(e, F.lit(w), *seq))) and tuple(x)
+    assert [look(E.word_to_tokens, w) for w in (0, 1, 2)] == [(0, 2), (2, 4), None] and look(E.word_to_tokens, 0, 1) is None
+    assert [look(E.word_to_chars, w) for w in (0, 1, 2)] == [(0, 5), (6, 11), None] and row(E.word_token_indices(e, F.lit(1))) == [2, 3]
 
 
 def texts(spark, *t):
@@ -307,6 +311,17 @@ def test_hub(tmp_path):
     assert h.resolve("org/repo").read_bytes() == b"{}" and h.is_cached("org/repo")
     h.clear("org/repo")
     assert not h.is_cached("org/repo")
+    old = {"vocab.json": b"{}", "merges.txt": b""}
+
+    def fetch(repo, name, rev):
+        if name not in old:
+            raise FileNotFoundError(name)
+        return old[name]
+
+    h = Hub(str(tmp_path), fetch)
+    assert h.resolve("org/old").name == "vocab.json" and h.is_cached("org/old", "merges.txt") and h.resolve(str(tmp_path)) == tmp_path
+    h.clear_all()
+    assert not tmp_path.exists()
 
 
 def test_corpus_and_stream(spark, tmp_path):
