@@ -405,6 +405,36 @@ def test_op9_filter_keeps_levels(spark):
     assert (f.levels(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
+def test_op9_counts_every_pair(spark):
+    # 6,000 words, each seen once in order: no list of frequent words holds them all
+    text = [" ".join(f"a{i + 50 * k}" for i in range(50)) for k in range(120)]
+    held = [i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    train = [i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 10][:120]
+    mixed = [f"a{(37 * i) % 6000}" for i in range(50)]
+    seen = text[119].split()
+    new = spark.createDataFrame([*zip(train, text), (held[0], text[119]), (held[1], " ".join(mixed))], "doc_id long, text string").repartition(3)
+    n, n2 = collections.Counter(), collections.Counter()
+    for x in text:
+        w = [*x.split(), None]
+        n.update(w)
+        n2.update(zip(w, w[1:]))
+    worth = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1)
+    total = sum(worth(c) for c in n.values())
+
+    def score(w):
+        w = [*w, None]
+        p = [(worth(n[x]) + 0.1) / (total + 0.1 * (len(n) + 1)) for x in w]
+        return math.log10(p[0]) + sum(math.log10((worth(n2[a, b]) + 2000 * q) / (worth(n[a]) + 2000)) for a, b, q in zip(w, w[1:], p[1:]))
+
+    for head in (10, 1 << 17):
+        old, lmscore.HEAD = lmscore.HEAD, head
+        got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(new).collect()}
+        lmscore.HEAD = old
+        assert len(got) == 122
+        for i, w in [(held[0], seen), (held[1], mixed), (train[5], text[5].split())]:
+            assert abs(got[i] - score(w)) < 2.5  # false positives of the filter
+
+
 def brute_near(rs, cosine=0.98):
     ok = {}
     for k, (i, e, l) in enumerate(rs):
