@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, forest
@@ -58,14 +58,14 @@ def simhash_texts(col: pa.Array, shingle: int = 3) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint as a signed long; one row per row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = 3, longs: list[str] = []) -> DataFrame:  # noqa: B006
+    """(doc_id, fp, *longs) with fp the fingerprint as a signed long; one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_texts(b.column(1), shingle).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_texts(b.column(1), shingle).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *longs])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *longs).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
 
 
 def trie_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,21 +168,49 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most `radius` bits."""
-    d = cut(fingerprints(docs, shingle))
+def by_fingerprint(d: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, root, component_id) for each fp of d (doc_id, fp): root names its component, component_id is its least doc_id."""
     fps = cut(d.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = components(links(fps.select("fp"), radius, blocks))
     named = fps.join(comp.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return d.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most `radius` bits."""
+    d = cut(fingerprints(docs, shingle))
+    return d.join(by_fingerprint(d, radius, blocks), "fp").select("doc_id", "fp", "component_id")
+
+
+ROW = "__row_key__"
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row."""
+    return F.xxhash64(*[docs[c] for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each component in grouped (doc_id, rk, component) the row of docs with the least (doc_id, rk) stays.
+
+    One of fully equal rows stays; rows without a doc_id all stay.
+    """
+    rows = cut(grouped.where("doc_id is not null").groupBy("component", "doc_id", "rk").agg(F.count("*").alias("times")))
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("best"))
+    fate = rows.join(best, "component").select(F.col("rk").alias("_rk"), ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("rk") == F.col("best.rk"))).alias("_stays"), "times")
+    fate = cut(fate.where("times > 1 or not _stays").select("_rk", "_stays"))
+    keyed = docs.withColumn(ROW, row_key(docs))
+    alone = keyed.join(fate.select("_rk").distinct(), F.col(ROW) == F.col("_rk"), "left_anti")
+    twins = keyed.join(fate.where("_stays").select("_rk"), F.col(ROW) == F.col("_rk"), "left_semi").dropDuplicates([ROW])
+    return alone.union(twins).drop(ROW)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """docs without all but one document of each component: the one with the least doc_id stays.
+    """docs without all but one row of each component: the one with the least doc_id, then row hash, stays.
 
-    Of rows that repeat that doc_id one stays; documents without a doc_id all stay.
+    One of fully equal rows stays; documents without a doc_id all stay.
     """
-    dropped = simhash_components(docs, shingle, radius, blocks).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_drop"], "left_anti")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("rk"))
+    d = cut(fingerprints(keyed, shingle, ["rk"]))
+    return keep_rows(docs, d.join(by_fingerprint(d, radius, blocks), "fp").select("doc_id", "rk", F.col("root").alias("component")))

@@ -350,6 +350,14 @@ def test_op8_simhash(docs, spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, f in d if i is None or least[c[f]] == i}
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b = "the quick brown fox jumps over the lazy dog", "an entirely different sentence about grain and weather"
+    kept = lambda *r: collections.Counter(rows(simhash.keep_one(spark.createDataFrame(r, "doc_id long, text string"))))
+    assert kept((5, a), (5, a)) == {(5, a): 1}
+    assert kept((3, a), (5, a), (5, b)) == {(3, a): 1, (5, b): 1}
+    assert kept((None, a), (None, a), (7, a), (6, a)) == {(None, a): 2, (6, a): 1}
+
+
 def test_op8_trie_finds_every_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
