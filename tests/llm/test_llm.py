@@ -358,6 +358,34 @@ def test_keep_one_decides_by_row(spark):
     assert kept((None, a), (None, a), (7, a), (6, a)) == {(None, a): 2, (6, a): 1}
 
 
+def test_near_copies_of_the_pipeline(docs, spark, data):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randint(0, 3000)}" for _ in range(n)] for n in (60, 200, 500, 900) for _ in range(10)]
+    extra = []
+    for k, w in enumerate(base):
+        x = list(w)
+        for _ in range(len(w) // 60):
+            x[rnd.randrange(len(x))] = "changed"
+        extra += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    extra += [(200 + k, x) for k, (x,) in enumerate(docs.select("text").collect())]
+    new = spark.createDataFrame(extra, "doc_id long, text string")
+
+    def shingles(s):
+        w = toks(low(s or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    s = {i: shingles(x) for i, x in extra}
+    c = classes(s, [(i, j) for i, j in itertools.combinations(s, 2) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])])
+    least = {}
+    for i in s:
+        least[c[i]] = min(least.get(c[i], i), i)
+    want = sorted(least.values())
+    assert sum(c[2 * k] == c[2 * k + 1] for k in range(40)) >= 20
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies_go(spark, new, data).collect()) == want
+
+
 def test_op8_trie_finds_every_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
