@@ -6,7 +6,8 @@ are ASCII, so splitting UTF-8 bytes equals splitting code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,26 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library keep for later back to the machine, as idle workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() when a task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def _mix_scalar(x: int) -> int:
     m = (1 << 64) - 1
     x = (x + 0x9E3779B97F4A7C15) & m

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut, partitions
+from ._text import tidy
 
 ROLES = ("system", "user", "assistant")
 RELABEL, MERGE, INSERT = 2, 1, 3
@@ -153,7 +154,7 @@ def repair(chats: DataFrame) -> DataFrame:
                 m = [x for s in range(4) for x in forward(roles, [0 if k == s else INF for k in range(4)])[1]]
                 yield pa.RecordBatch.from_pylist([{"part": part, "no": no, "last": last, "conv": conv, "n": len(rows), "m": m}], pa.schema([("part", pa.int64()), ("no", pa.int64()), ("last", pa.bool_()), ("conv", pa.int64()), ("n", pa.int64()), ("m", pa.list_(pa.int64()))]))
 
-    ends = sorted(src.mapInArrow(first, "part long, no long, last boolean, conv long, n long, m array<long>").collect(), key=lambda r: (r["part"], r["no"]))
+    ends = sorted(src.mapInArrow(tidy(first), "part long, no long, last boolean, conv long, n long, m array<long>").collect(), key=lambda r: (r["part"], r["no"]))
     chains: list[list] = []
     for r in ends:
         if chains and r["no"] == 0 and chains[-1][-1]["last"] and chains[-1][-1]["conv"] == r["conv"] and chains[-1][-1]["part"] != r["part"]:
@@ -182,7 +183,7 @@ def repair(chats: DataFrame) -> DataFrame:
                     ways = [path(back, t) for t in range(4)]
                     yield pa.RecordBatch.from_pylist([{"part": part, "no": no, "entry": [w[0] for w in ways], "turns": [turns_made(roles, w) if t and all((s, x) in STEPS[r] for r, s, x in zip(roles, w, w[1:])) else 0 for t, w in enumerate(ways)]}], pa.schema([("part", pa.int64()), ("no", pa.int64()), ("entry", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64()))]))
 
-        maps = {(r["part"], r["no"]): r for r in src.mapInArrow(second, "part long, no long, entry array<long>, turns array<long>").collect()}
+        maps = {(r["part"], r["no"]): r for r in src.mapInArrow(tidy(second), "part long, no long, entry array<long>, turns array<long>").collect()}
         for chain in (c for c in chains if len(c) > 1):
             keys = [(r["part"], r["no"]) for r in chain]
             for k in range(len(keys) - 1, 0, -1):
@@ -213,4 +214,4 @@ def repair(chats: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return src.mapInArrow(third, OUT)
+    return src.mapInArrow(tidy(third), OUT)

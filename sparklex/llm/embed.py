@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, forest
 from ._store import cut, partitions
+from ._text import tidy
 
 DIMS, BLOCK, LEAF, SAMPLE, SLACK = 6, 2048, 256, 8192, 1e-9
 
@@ -117,7 +118,7 @@ def _blocks(reps: DataFrame, grid: Grid) -> DataFrame:
     label = reps.schema["label"].dataType.simpleString()
     cells = [f"c{k}" for k in range(DIMS)]
     order = ["label", "n", *cells, "h"]
-    placed = reps.select("label", "n", "vec", "h", "times").mapInArrow(place, f"label {label}, n int, vec array<double>, h long, times long, " + ", ".join(f"{c} int" for c in cells))
+    placed = reps.select("label", "n", "vec", "h", "times").mapInArrow(tidy(place), f"label {label}, n int, vec array<double>, h long, times long, " + ", ".join(f"{c} int" for c in cells))
     placed = placed.repartitionByRange(partitions(reps), *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def _blocks(reps: DataFrame, grid: Grid) -> DataFrame:
                     made += 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.int64(), b.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()))], ["bid", "label", "n", "size", "lo", "hi", "h", "times", "vec"])
 
-    return cut(placed.mapInArrow(pack, f"bid long, label {label}, n int, size int, lo array<double>, hi array<double>, h binary, times binary, vec binary"))
+    return cut(placed.mapInArrow(tidy(pack), f"bid long, label {label}, n int, size int, lo array<double>, hi array<double>, h binary, times binary, vec binary"))
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -181,7 +182,7 @@ def near(emb: DataFrame, cosine: float = 0.98) -> DataFrame:
                 at = np.flatnonzero(got)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(got[at]), pa.array(h[root[at]])], ["h", "links", "to"])
 
-    found = cut(work.select("a", "b", "n", "h", "times", "vec", "h2", "times2", "vec2").repartition(partitions(emb), "a", "b").mapInArrow(run, "h long, links long, to long"))
+    found = cut(work.select("a", "b", "n", "h", "times", "vec", "h2", "times2", "vec2").repartition(partitions(emb), "a", "b").mapInArrow(tidy(run), "h long, links long, to long"))
     comp = components(found.select(F.col("h").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("h").agg(F.sum("links").alias("links"))
     named = reps.select("h", "times", "low").join(links, "h", "left").join(comp.withColumnRenamed("u", "h"), "h", "left")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import distinct_pairs, mix, slices
+from ._text import distinct_pairs, mix, slices, tidy
 
 N, K, MAX_CHARS = (3, 4, 5), 3, 50_000
 
@@ -134,4 +134,4 @@ def language(docs: DataFrame, per_lang: int = 600) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

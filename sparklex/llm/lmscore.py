@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
-from ._text import mix, slices, words
+from ._text import mix, slices, tidy, words
 
 HEAD, HOT, MU = 1 << 17, 1 / 4096, 2000.0
 BLOCK_BITS, BITS_EACH, K = 1 << 16, 10, 4
@@ -97,7 +97,7 @@ def _count(src: DataFrame, of: str = "tokens", only: np.ndarray | None = None) -
                     one, c = one[ok], c[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return src.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return src.select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def level(c: np.ndarray) -> np.ndarray:
@@ -337,9 +337,9 @@ def lm_scores(docs: DataFrame, held_out: int = 10) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    dealt = src.select("doc_id", "text", "held_out").mapInArrow(deal, PACKED).repartition(parts, "to")
-    sent = dealt.mapInArrow(answer, "slice long, part int, rows binary, rare binary").repartition(parts, "slice")
-    return sent.mapInArrow(whole, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = src.select("doc_id", "text", "held_out").mapInArrow(tidy(deal), PACKED).repartition(parts, "to")
+    sent = dealt.mapInArrow(tidy(answer), "slice long, part int, rows binary, rare binary").repartition(parts, "slice")
+    return sent.mapInArrow(tidy(whole), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _sent(number: int, part: int, rows: bytes, rare: bytes) -> pa.RecordBatch:

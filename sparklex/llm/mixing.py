@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, HALF = (5, 2, 1), 3, 64
@@ -75,7 +75,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: a row of docs for each epoch it is taken in, with column `epoch` from 0; the text at a cut is shortened."""
-    d = _taken(_keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")))
+    d = _taken(_keyed(docs.select(F.struct(*[name(c) for c in docs.columns if c != "text"]).alias("_row"), "doc_id", "text", "source")))
     head = lambda n: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, n.cast("int")), " ")
     whole = F.col("_epochs") + F.when(F.col("_extra") == F.col("_n"), 1).otherwise(0)
     times = F.when(F.col("_n") == 0, F.lit(0)).otherwise(whole + F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_n")), 1).otherwise(0))
@@ -86,6 +86,6 @@ def mix(docs: DataFrame) -> DataFrame:
         if c == "epoch":
             continue
         new = head(F.col("_extra")) if c in ("text", "n_chars") else None
-        old = F.col("_row")[c]
+        old = F.col("text") if c == "text" else F.col("_row")[c]
         cols.append((old if new is None else F.when(part, new if c == "text" else F.char_length(new).cast(docs.schema[c].dataType)).otherwise(old)).alias(c))
     return d.select(*cols, "epoch")

@@ -1,27 +1,32 @@
 """Secret scan over a trigram index, in DataFrame functions only.
 
-Each rule's regex yields a Boolean query of trigrams that every match must contain. The
-index keeps one posting bitmap per row: bit t says that the row's lower-cased text holds
-trigram t of the queries' vocabulary. Bitmaps of a conjunction are intersected by one AND,
-rows that satisfy a rule's query are its candidates, and only those are verified with the
-regex; a rule without a mandatory trigram scans every row. The bitmaps stay beside their
-rows, so intersecting and verifying need no shuffle of ids or texts. `postings` and
-`candidates` give the same index as a (trigram, key) table, for rules that come later.
-
-Spans are counted in code points, end exclusive.
+Each rule's regex yields a Boolean query of trigrams that every match must contain. `postings`
+inverts the texts: for each trigram of the queries the list of entries whose lower-cased text
+holds it, cut into segments of the entries' hash so that no list grows with the corpus.
+`candidates` intersects and unites the lists of a segment as each rule's query says. Candidates
+are joined to their texts by hash and verified with the regex; a rule without a mandatory
+trigram scans every text. Entries are hashes of (doc_id, text): should two rows share one, both
+are verified, so a collision costs time and changes nothing.
+
+Spans are counted in code points, end exclusive. Sums over a text's spans are kept by blocks,
+so time grows with the text even where it holds tens of thousands of spans.
 Defined results: a null text is empty; a row without spans has empty `spans`; null and
 repeated doc_ids each keep their row; other columns are ignored (`redact` keeps them).
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh, name
+
 Query = tuple  # ("all",) | ("tri", t) | ("and", q...) | ("or", q...)
 
 
@@ -49,7 +54,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
 )
 RULES = BASE + MORE
-MOST_EXACT = 64
+MOST_EXACT, SEGMENT, STRIDE, TEXT_BLOCK = 64, 4096, 256, 4096
 
 
 def _and(*q: Query) -> Query:
@@ -115,98 +120,99 @@ def trigrams(q: Query) -> set[str]:
     return {q[1]} if q[0] == "tri" else set().union(*(trigrams(x) for x in q[1:])) if q[0] in ("and", "or") else set()
 
 
-class TrigramIndex:
-    """The vocabulary of some rules' queries and where each trigram's bit is."""
-
-    def __init__(self, rules: tuple[Rule, ...]):
-        self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
-        self.vocabulary = sorted(set().union(*(trigrams(q) for q in self.queries.values())))
-        self.at = {t: divmod(i, 62) for i, t in enumerate(self.vocabulary)}
-
-    def bitmaps(self, text: Column) -> Column:
-        """array<long>: the row's posting bits."""
-        low = F.lower(text)
-        words = [F.lit(0).cast("long") for _ in range(-(-len(self.vocabulary) // 62))]
-        for t, (w, b) in self.at.items():
-            words[w] = words[w].bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << b)).otherwise(F.lit(0)))
-        return F.array(*words)
-
-    def satisfied(self, kind: str, bits: Column) -> Column:
-        """The rule's query over posting bits."""
-
-        def ask(q: Query) -> Column:
-            if q[0] == "all":
-                return F.lit(True)
-            if q[0] == "tri":
-                w, b = self.at[q[1]]
-                return bits[w].bitwiseAND(F.lit(1 << b)) != 0
-            if q[0] == "or":
-                out = ask(q[1])
-                for x in q[2:]:
-                    out = out | ask(x)
-                return out
-            masks: dict[int, int] = {}
-            out = F.lit(True)
-            for x in q[1:]:
-                if x[0] == "tri":
-                    w, b = self.at[x[1]]
-                    masks[w] = masks.get(w, 0) | 1 << b
-                else:
-                    out = out & ask(x)
-            for w, m in masks.items():
-                out = out & (bits[w].bitwiseAND(F.lit(m)) == F.lit(m))
-            return out
-
-        return ask(self.queries[kind])
+def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
+
+
+def entry_key(docs: DataFrame) -> Column:
+    """Under what number a row's text stands in the index; rows that share one are candidates together."""
+    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
 
 
 def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(trigram, doc_id): the inverted index as a table, to be stored and asked by later rules."""
-    found = F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.contains(F.col("_low"), t))
-    return docs.select("doc_id", F.lower("text").alias("_low")).select(F.explode(found).alias("trigram"), "doc_id").distinct()
+    """(segment, trigram, keys): the inverted index. A posting list holds the entries of one segment of the keys.
 
+    There is a segment for every SEGMENT rows, so no list grows with the corpus.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, docs.count()) / SEGMENT)))
+    rows = docs.select(F.lower(F.col("text").cast("string")).alias("low"), entry_key(docs).alias("key")).where(F.length("low") > 2)
+    segment = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    held = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]), F.isnotnull)
+    return rows.select(segment.alias("segment"), "key", F.explode(held).alias("trigram")).groupBy("segment", "trigram").agg(F.collect_set("key").alias("keys"))
 
-def candidates(index: DataFrame, rule: Rule) -> DataFrame | None:
-    """(doc_id) of the documents whose postings satisfy the rule; None: it has no mandatory trigram, so all must be scanned."""
 
-    def ask(q: Query) -> DataFrame:
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, rules): entries whose postings satisfy the query of rule i, for each bit i of rules. Rules without a query are not asked."""
+    none = F.array().cast("array<bigint>")
+    queries = {i: q for i, q in enumerate(trigram_query(r.pattern) for r in rules) if q[0] != "all"}
+    at = {t: f"t{k}" for k, t in enumerate(sorted(set().union(*map(trigrams, queries.values()))))}
+
+    def ask(q: Query) -> Column:
         if q[0] == "tri":
-            return index.where(F.col("trigram") == q[1]).select("doc_id")
-        parts = [ask(x) for x in q[1:]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p) if q[0] == "or" else out.join(p, "doc_id", "left_semi")
-        return out.distinct()
+            return F.col(at[q[1]])
+        out = ask(q[1])
+        for x in q[2:]:
+            out = F.array_union(out, ask(x)) if q[0] == "or" else F.array_intersect(out, ask(x))
+        return out
+
+    if not queries:
+        return index.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("rules")).limit(0)
+    lists = index.groupBy("segment").agg(*[F.coalesce(F.first(F.when(F.col("trigram") == t, F.col("keys")), ignorenulls=True), none).alias(c) for t, c in at.items()])
+
+    def named(keys: Column, rule: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(rule).alias("rule")))
+
+    each = F.concat(*[named(ask(q), 1 << i) for i, q in queries.items()])
+    return lists.select(F.explode(each).alias("x")).groupBy("x.key").agg(F.bit_or("x.rule").alias("rules"))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once: inside a lambda an outer expression is evaluated again at each step."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(a: Column, kind: str, step: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The running fold of an array, without the first value; by blocks, as appending to one array copies it each time."""
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(zero.cast(kind).alias("last"), F.array().cast(f"array<array<{kind}>>").alias("out"))
 
-    q = trigram_query(rule.pattern)
-    return None if q[0] == "all" else ask(q)
+    def block(values: Column, acc: Column, i: Column) -> Column:
+        append = lambda got, x: F.concat(got, F.array(step(F.coalesce(F.try_element_at(got, F.lit(-1)), acc["last"]), x)))
+        return let(F.aggregate(F.slice(values, i, F.lit(STRIDE)), none, append), lambda made: F.struct(F.try_element_at(made, F.lit(-1)).alias("last"), F.concat(acc["out"], F.array(made)).alias("out")))
+
+    def fold(values: Column) -> Column:
+        starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(starts, start, lambda acc, i: block(values, acc, i))["out"])
+
+    return let(a, fold)
 
 
 def _spans(rule: Rule, no: int, text: Column) -> Column:
     """array<struct<start, no, end>> of a rule's matches in a candidate's text (null: none)."""
     pattern = F.lit(rule.pattern)
-    empty = F.array().cast("array<string>")
-    hits = F.coalesce(F.regexp_extract_all(text, pattern, F.lit(0)), empty)
-    group = hits if rule.group == 0 else F.coalesce(F.regexp_extract_all(text, pattern, F.lit(rule.group)), empty)
-    gaps = F.coalesce(F.split(text, rule.pattern, -1), empty)
-    each = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(hits)), F.char_length).alias("g"), F.transform(hits, F.char_length).alias("h"), F.transform(group, F.char_length).alias("n"))
-    none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out"))
+    empty, none = F.array().cast("array<string>"), F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
+    found = lambda group: F.coalesce(F.regexp_extract_all(text, pattern, F.lit(group)), empty)
+
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.coalesce(F.split(text, rule.pattern, -1), empty), 1, F.size(hits))
+        sizes = F.arrays_zip(F.transform(gaps, F.char_length).alias("g"), F.transform(hits, F.char_length).alias("h"), F.transform(found(rule.group) if rule.group else hits, F.char_length).alias("n"))
+        return let(sizes, at)
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + x["g"]
-        z = a + x["h"]
-        one = F.array(F.struct(a.alias("start"), F.lit(no).alias("no"), z.alias("end")))
-        return F.struct(z.alias("pos"), F.when(x["n"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def at(sizes: Column) -> Column:
+        ends = running(F.transform(sizes, lambda x: (x["g"] + x["h"]).cast("bigint")), "bigint", lambda s, x: s + x, F.lit(0))
+        each = F.zip_with(ends, sizes, lambda z, x: F.struct((z - x["h"]).alias("start"), F.lit(no).alias("no"), z.alias("end"), x["n"].alias("n")))
+        return F.transform(F.filter(each, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end")))
 
-    return F.when(F.size(hits) > 0, F.aggregate(each, start, step)["out"]).otherwise(none)
+    return let(found(0), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
 
-def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs with _text, and _s0, _s1, ... the spans of each rule."""
-    index = TrigramIndex(rules)
-    d = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_bits", index.bitmaps(F.col("_text")))
-    return d.withColumns({f"_s{i}": _spans(r, i, F.when(index.satisfied(r.kind, F.col("_bits")), F.col("_text"))) for i, r in enumerate(rules)})
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], mask: str, spans: list[str]) -> DataFrame:
+    """docs with column `mask`, the rules that the index names for the row, and `spans`, one column of spans for each rule."""
+    found = candidates(postings(docs, _vocabulary(rules)), rules).select(F.col("key").alias(f"{mask}key"), F.col("rules").alias(mask))
+    d = docs.join(found, entry_key(docs) == found[f"{mask}key"], "left").drop(f"{mask}key")
+    text = F.col("text").cast("string")
+    asked = lambda i, r: text if trigram_query(r.pattern)[0] == "all" else F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, text)
+    return d.withColumns({c: _spans(r, i, asked(i, r)) for i, (r, c) in enumerate(zip(rules, spans))})
 
 
 def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -217,32 +223,47 @@ def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs."""
     rules = BASE + more
-    every = F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])
-    base = F.concat(*[F.col(f"_s{i}") for i in range(len(BASE))])
-    d = _scanned(docs.select("doc_id", "text"), rules)
-    return d.select("doc_id", *[F.size(f"_s{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(_shown(base, rules), 256).alias("base_sha256"), _shown(every, rules).alias("spans"))
+    names = [f"s{i}" for i in range(len(rules))]
+    d = _scanned(docs.select("doc_id", "text"), rules, "asked", names)
+    return d.select("doc_id", *[F.size(f"s{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(_shown(F.concat(*names[: len(BASE)]), rules), 256).alias("base_sha256"), _shown(F.concat(*names), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, more: tuple[Rule, ...] = MORE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by `mark` (overlapping spans by one), and n_chars, if there, recounted."""
-    rules = BASE + more
-    d = _scanned(docs.select(F.struct(*docs.columns).alias("_row"), "text"), rules).withColumn("_all", F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])))
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by `mark`.
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(F.col("_text"), (acc["pos"] + 1).cast("int"), F.greatest(x["start"] - acc["pos"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] >= acc["pos"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    The text is cut into blocks first, as finding a character by its number walks from the start of the string.
+    """
+    size = F.lit(TEXT_BLOCK)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
 
-    made = F.aggregate("_all", first, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), (acc["pos"] + 1).cast("int"))))
-    hit = F.size("_all") > 0
-    d = d.withColumn("_new", F.when(hit, made))
+    def part(blocks: Column, p: Column, q: Column) -> Column:
+        i, j = F.floor(p / size).cast("int"), F.floor(q / size).cast("int")
+        first, last = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+        a, b = (p % size).cast("int"), (q % size).cast("int")
+        apart = F.concat(F.substr(first, a + 1), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(last, F.lit(1), b))
+        return F.when(i == j, F.substr(first, a + 1, b - a)).otherwise(apart)
 
-    def column(c: str) -> Column:
-        old = F.col("_row")[c]
-        new = {"text": F.col("_new"), "n_chars": F.char_length("_new")}.get(c)
-        return (old if new is None else F.when(hit, new.cast(docs.schema[c].dataType)).otherwise(old)).alias(c)
+    def gaps(x: Column) -> Column:
+        """x: spans and before, the end of all that comes before each span (and before the end of the text)."""
+        each = F.transform(x["spans"], lambda y, i: F.struct(x["before"][i].alias("p"), y["start"].alias("q")))
+        rest = F.struct(F.try_element_at(x["before"], F.lit(-1)).alias("p"), F.char_length(text).cast("bigint").alias("q"))
+        return F.concat(F.filter(each, lambda y: y["q"] >= y["p"]), F.array(rest))
 
-    return d.select(*map(column, docs.columns))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), running(F.transform(spans, lambda x: x["end"]), "bigint", F.greatest, F.lit(0)))
+    kept = let(F.struct(spans.alias("spans"), before.alias("before")), gaps)
+    return let(blocks, lambda b: F.array_join(F.transform(kept, lambda x: part(b, x["p"], x["q"])), mark))
+
+
+def redact(docs: DataFrame, more: tuple[Rule, ...] = MORE, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span replaced by `mark` (overlapping spans by one), and n_chars, if there, recounted."""
+    rules = BASE + more
+    own = fresh(docs, "secret_")
+    names = [f"{own}{i}" for i in range(len(rules))]
+    d = _scanned(docs, rules, own, names).withColumn(own, F.array_sort(F.concat(*names)))
+    hit = F.size(own) > 0
+    d = d.withColumn(names[0], F.when(hit, masked(F.col("text").cast("string"), F.col(own), mark)))
+    new = {"text": F.col(names[0]), "n_chars": F.char_length(names[0])}
+    return d.select(*[F.when(hit, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else name(c).alias(c) for c in docs.columns])
 
 
 def check_rules(rules: tuple[Rule, ...]) -> None:

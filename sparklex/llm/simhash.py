@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, forest
 from ._store import cut
-from ._text import slices, words
+from ._text import slices, tidy, words
 
 
 def bit_majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, longs: list[str] = []) -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_texts(b.column(1), shingle).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *longs])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *longs).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *longs).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
 
 
 def trie_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,7 +165,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(*held)
 
-    return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "u long, v long")
+    return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(tidy(run), "u long, v long")
 
 
 def by_fingerprint(d: DataFrame, radius: int, blocks: int) -> DataFrame:

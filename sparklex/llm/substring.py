@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
-from ._text import distinct_pairs, slices, windows, words
+from ._text import distinct_pairs, slices, tidy, windows, words
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def _anchor_rows(originals: DataFrame, window: int) -> DataFrame:
                 where, one = np.unique(where, return_index=True)
                 yield _pairs(b.column(0)[i:j].to_pylist(), w.rows()[where], g[one])
 
-    return originals.select("doc_id", "text").mapInArrow(run, "h long, d long")
+    return originals.select("doc_id", "text").mapInArrow(tidy(run), "h long, d long")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _window_rows(marked: DataFrame, window: int) -> DataFrame:
                 _, full = windows(h, w.first, window)
                 yield _pairs(b.column(0)[i:j].to_pylist(), row[ok], full[ok])
 
-    return marked.select("doc_id", "text", "hs").mapInArrow(run, "h long, d long")
+    return marked.select("doc_id", "text", "hs").mapInArrow(tidy(run), "h long, d long")
 
 
 def doubled(dup: np.ndarray, length: int) -> int:
@@ -185,4 +185,4 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
 
     found = copied.join(late.withColumnRenamed("d", "doc_id"), "doc_id", "left").select("doc_id", "text", "hs", "copy")
     nameless = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("hs"), F.lit(False).alias("copy"))
-    return found.union(nameless).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string")
+    return found.union(nameless).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, kept string")

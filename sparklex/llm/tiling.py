@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, windows, words
+from ._text import slices, tidy, windows, words
 
 BLOCK_BYTES = 4 << 20
 
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage:
                 cols = list(zip(*got)) if got else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), kind))], ["doc_id", "item_id", "n_tokens", "n_covered", "coverage", "n_tiles", "tiles"])
 
-        one = src.mapInArrow(run, out)
+        one = src.mapInArrow(tidy(run), out)
         made = one if made is None else made.union(one)
     return docs.sparkSession.createDataFrame([], out) if made is None else made
 
@@ -145,5 +145,5 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: flo
                 ok[[m[0] for m in held.value.matches(b.column(at), coverage)]] = False
                 yield b.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

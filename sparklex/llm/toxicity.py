@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, slices, words
+from ._text import Words, mix, slices, tidy, words
 
 BITS, MAX_CHARS, STEM = 20, 200_000, 6
 
@@ -106,7 +106,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.col("doc_id").cast("string")) % held_out == 0).alias("held_out"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return src.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> DataFrame:
@@ -118,4 +118,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_row
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), *model.value) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
