@@ -2,40 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
+from ._text import tidy
+
+
+CHUNK, HUBS = 1 << 20, 4096
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that span the same components: each CHUNK of a partition's edges becomes a forest of stars."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = forest(at[: len(u)], at[len(u) :], len(nodes))
+        child = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield stars(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield stars(*map(np.concatenate, zip(*held)))
+
+    return edges.select("u", "v").mapInArrow(tidy(run), "u long, v long")
+
+
+def _lowest(e: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """e (u, v) with m, the least of its u; u with so many rows that one task would hold them (fewer than HUBS such u) are broadcast."""
+    hubs = low.where(F.col("n") > max(64, total // HUBS)).select("u", F.col("m").alias("hub"))
+    e = e.join(F.broadcast(hubs), "u", "left")
+    rest = e.where("hub is null").drop("hub").join(low.drop("n"), "u")
+    return e.where("hub is not null").select("u", "v", F.col("hub").alias("m")).union(rest)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v). Large: every larger neighbour of u joins the least of u and its neighbours; small: the smaller ones do."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """edges (u, v), at most `total`. Large: every larger neighbour of u joins the least of u and its neighbours; small: the smaller ones do."""
     if large:
         e = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     if large:
-        out = e.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _lowest(e.where("v > u"), low, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        out = _lowest(e, low, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of edges (u, v longs): root is the least node it reaches.
 
-    Each round costs a few shuffles of the edges; about log(nodes) rounds. No links, no rows.
+    Partitions contract what they hold, then stars meet in rounds of a few shuffles; about log(nodes) rounds. No links, no rows.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(contracted(edges.where("u <> v")).distinct())
     seen = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == seen:
             return edges.select("u", F.col("v").alias("root")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
         seen = now
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True, now[0]), False, now[0]))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

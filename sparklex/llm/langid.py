@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import distinct_pairs, mix, slices, tidy
+from ._text import distinct_pairs, mix, release, slices, tidy
 
 N, K, MAX_CHARS = (3, 4, 5), 3, 50_000
 
@@ -121,7 +121,10 @@ def learn(docs: DataFrame, per_lang: int = 600) -> LanguageFilter:
     for k in langs:
         pick = pick | ((F.col("lang") == k) & (F.pmod("h", F.lit(grain)) < int(grain * min(1.0, per_lang / n[k]))))
     got = src.where(pick).select("lang", "text").toArrow().combine_chunks() if langs else None
-    return build(langs, [got["text"].filter(pc.equal(got["lang"], k)).combine_chunks() if got.num_rows else pa.array([], pa.string()) for k in langs])
+    made = build(langs, [got["text"].filter(pc.equal(got["lang"], k)).combine_chunks() if got.num_rows else pa.array([], pa.string()) for k in langs])
+    del got
+    release()
+    return made
 
 
 def language(docs: DataFrame, per_lang: int = 600) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, slices, tidy, words
+from ._text import Words, mix, release, slices, tidy, words
 
 BITS, MAX_CHARS, STEM = 20, 200_000, 6
 
@@ -53,6 +53,7 @@ def fit(col: pa.Array, y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1:
     for a, b in slices(col):
         r, s = features(col[a:b])
         edge = np.searchsorted(r, np.arange(b - a + 1))
+        s = s.astype(np.int32)
         each += [s[edge[i] : edge[i + 1]] for i in range(b - a)]
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -83,7 +84,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int =
     got = got.take(pa.array(order, pa.int64())).combine_chunks()
     if not got.num_rows:
         return np.zeros(0, np.int64), np.zeros(0)
-    return fit(got["text"].chunk(0), np.asarray(got["_y"], np.float64))
+    made = fit(got["text"].chunk(0), np.asarray(got["_y"], np.float64))
+    del got
+    release()
+    return made
 
 
 def scores(col: pa.Array, at: np.ndarray, w: np.ndarray) -> np.ndarray:
