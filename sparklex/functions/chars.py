@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 
 def cls(*ranges: tuple[int, int]) -> str:
     return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
@@ -66,6 +68,19 @@ def split_spaces(text: str) -> list[str]:
     return [w for w in "".join("\x20" if is_space(c) else c for c in text).split("\x20") if w]
 
 
+@cache
+def _gpt2():
+    import regex
+
+    spaces = "".join(f"\\u{c:04x}" for c in sorted(SPACES))
+    return regex.compile(GPT2.replace(r"|\s+", f"|[{spaces}]+").replace(r"\s", spaces))
+
+
+def gpt2_pieces(text: str) -> list[str]:
+    """Pieces of the byte-level pattern, as in the Column form."""
+    return _gpt2().findall(text)
+
+
 def encode_bytes(text: str) -> str:
     return "".join(ALPHABET[b] for b in text.encode("utf-8"))
 

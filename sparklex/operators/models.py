@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from array import array
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import decode_bytes, encode_bytes, split_spaces
 
-CACHE = 1 << 16
+CACHE = 1 << 17
 
 
 def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int], skip: Callable[[], bool] | None = None) -> list[str]:
@@ -45,6 +48,10 @@ def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int], skip: C
 class Model:
     vocab: dict[str, int]
 
+    def by_chunks(self) -> bool:
+        """Whether a text may be cut before each single space between two other characters."""
+        return False
+
     def encode_text(self, text: str) -> list[int]:
         raise NotImplementedError
 
@@ -87,23 +94,23 @@ class BPE(Model):
 
 
 class ByteLevelBPE(Model):
-    """Optional leading space, pieces that start at spaces, bytes as characters, merges by strings, unknown -> unk."""
+    """Optional leading space, pieces that start at spaces, bytes as characters, merges by strings, unknown -> unk (0 if it has no entry)."""
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], unk: str = "<unk>", add_prefix_space: bool = False):
         self.vocab, self.unk, self.add_prefix_space = dict(vocab), unk, add_prefix_space
         self.merges = list(merges)
         self.ranks = {p: r for r, p in enumerate(self.merges)}
 
+    def by_chunks(self) -> bool:
+        return not self.add_prefix_space
+
     def encode_text(self, text: str) -> list[int]:
         if self.add_prefix_space and not text.startswith(" "):
             text = " " + text
-        out, unk = [], self.vocab.get(self.unk)
+        unk = self.vocab.get(self.unk, 0)
         first, *rest = text.split(" ")
-        for piece in [*([first] if first else []), *(" " + r for r in rest)]:
-            for s in merge_symbols(list(encode_bytes(piece)), self.ranks):
-                i = self.vocab.get(s, unk)
-                out += [] if i is None else [i]
-        return out
+        pieces = [*([first] if first else []), *(" " + r for r in rest)]
+        return [self.vocab.get(s, unk) for p in pieces for s in merge_symbols(list(encode_bytes(p)), self.ranks)]
 
     def decode_expr(self, tokens: Column) -> Column:
         from .decoders import ByteLevel
@@ -112,20 +119,19 @@ class ByteLevelBPE(Model):
 
 
 class CharBPE(Model):
-    """White-space words whose last character carries the suffix."""
+    """White-space words whose last character carries the suffix; unknown -> unk (0 if it has no entry)."""
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], unk: str = "<unk>", suffix: str = "</w>"):
         self.vocab, self.unk, self.suffix = dict(vocab), unk, suffix
         self.merges = list(merges)
         self.ranks = {p: r for r, p in enumerate(self.merges)}
 
+    def by_chunks(self) -> bool:
+        return True
+
     def encode_text(self, text: str) -> list[int]:
-        out, unk = [], self.vocab.get(self.unk)
-        for w in split_spaces(text):
-            for s in merge_symbols([*w[:-1], w[-1] + self.suffix], self.ranks):
-                i = self.vocab.get(s, unk)
-                out += [] if i is None else [i]
-        return out
+        unk = self.vocab.get(self.unk, 0)
+        return [self.vocab.get(s, unk) for w in split_spaces(text) for s in merge_symbols([*w[:-1], w[-1] + self.suffix], self.ranks)]
 
     def decode_expr(self, tokens: Column) -> Column:
         from .decoders import BPE as Joined
@@ -138,18 +144,35 @@ class WordPiece(Model):
 
     def __init__(self, vocab: dict[str, int], prefix: str = "##", unk: str = "[UNK]", max_chars: int = 100):
         self.vocab, self.prefix, self.unk, self.max_chars = dict(vocab), prefix, unk, max_chars
-        self.longest = max(map(len, vocab), default=1)
+        self.lengths: dict[str, list[int]] = {}  # by first character, word starts and the rest apart: lengths that occur, longest first
+        for p in sorted(vocab, key=len):
+            self._note(p)
+
+    def _note(self, p: str) -> None:
+        for lead in {"", self.prefix}:
+            n = len(p) - len(lead)
+            if p.startswith(lead) and n > 0 and n not in (known := self.lengths.setdefault(lead + p[len(lead)], [])):
+                known.append(n)
+                known.sort(reverse=True)
+
+    def add(self, piece: str) -> None:
+        """One more piece, with the next id."""
+        self.vocab[piece] = len(self.vocab)
+        self._note(piece)
 
     def pieces(self, word: str) -> list[str | None]:
         out: list[str | None] = []
         i, n = 0, len(word)
         while i < n:
             lead = self.prefix if i else ""
-            j = next((j for j in range(min(n, i + self.longest), i, -1) if lead + word[i:j] in self.vocab), None)
+            j = next((i + k for k in self.lengths.get(lead + word[i], ()) if i + k <= n and lead + word[i : i + k] in self.vocab), None)
             out.append(None if j is None else lead + word[i:j])
             i = i + 1 if j is None else j
         return out
 
+    def by_chunks(self) -> bool:
+        return True
+
     def encode_text(self, text: str) -> list[int]:
         out, unk = [], self.vocab.get(self.unk)
         for w in split_spaces(text):
@@ -172,20 +195,28 @@ class Unigram(Model):
         self.vocab = {p: i for i, (p, _) in enumerate(self.pieces)}
         self.score = {p: s for p, s in self.pieces}
         self.longest = max([len(p) for p, _ in pieces], default=1) or 1
+        self.ending: dict[str, list[int]] = {}  # by last character: lengths of the pieces of two or more that end so, longest first
+        for p in sorted(self.vocab, key=len, reverse=True):
+            if len(p) > 1 and len(p) not in (known := self.ending.setdefault(p[-1], [])):
+                known.append(len(p))
         self.unknown = min([s for _, s in self.pieces], default=0.0) - 10
 
+    def by_chunks(self) -> bool:
+        """Exact if no piece but the space itself holds one: then every path has a border on both sides of a space."""
+        return all(p == " " or " " not in p for p in self.vocab)
+
     def encode_text(self, text: str) -> list[int]:
         n = len(text)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        score, none = self.score, ()
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                s = self.score.get(text[start:end])
-                if s is None:
-                    if end - start > 1:
-                        continue
-                    s = self.unknown
-                if best[start] + s > best[end]:
-                    best[end], back[end] = best[start] + s, start
+            for size in self.ending.get(text[end - 1], none):
+                s = score.get(text[end - size : end]) if size <= end else None
+                if s is not None and best[end - size] + s > best[end]:
+                    best[end], back[end] = best[end - size] + s, end - size
+            s = best[end - 1] + score.get(text[end - 1], self.unknown)
+            if s > best[end]:
+                best[end], back[end] = s, end - 1
         out = []
         while n > 0:
             out.append(self.vocab.get(text[back[n] : n], self.unk_id))
@@ -200,6 +231,9 @@ class WordLevel(Model):
     def __init__(self, vocab: dict[str, int], unk: str = "<unk>"):
         self.vocab, self.unk = dict(vocab), unk
 
+    def by_chunks(self) -> bool:
+        return True
+
     def encode_text(self, text: str) -> list[int]:
         unk = self.vocab.get(self.unk, 0)
         return [self.vocab.get(w, unk) for w in split_spaces(text)]
@@ -251,6 +285,71 @@ def encoder(encode: Callable[[str], list[int]], pieces: bool = True) -> Callable
     return F.arrow_udf(run, "array<bigint>")
 
 
+class _Known(dict):
+    """What encode gives for lead + chunk, worked out once for each chunk."""
+
+    def __init__(self, encode: Callable[[str], list[int]], lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, chunk: str) -> list[int]:
+        got = self[chunk] = self.encode(self.lead + chunk)
+        return got
+
+
+#: A single space between two characters that are not white space; and signs that a text has others.
+_BORDER, _OTHER = re.compile(r"(?<!\s) (?!\s|$)"), re.compile(r"[^\S ] | [^\S ]")
+
+
+def text_encoder(encode: Callable[[str], list[int]], by_chunks: bool = True) -> Callable[[Column], Column]:
+    """A Column function: string -> array<bigint> by encode. Null stays null.
+
+    by_chunks: encode may be applied to each chunk from one single space to the next; chunks are looked up in
+    a cache that lives as long as the worker, so a repeated word costs one look-up.
+    """
+    first, later = _Known(encode, ""), _Known(encode, " ")
+
+    def ids(text: str) -> Iterable[list[int]]:
+        words = text.split(" ")
+        if "" in words or _OTHER.search(text):
+            words = _BORDER.split(text)
+        return chain((first[words[0]],), map(later.__getitem__, words[1:]))
+
+    def run(x: pa.Array) -> pa.Array:
+        size, flat = [0], array("q")
+        for text in x.to_pylist():
+            if text is not None:
+                flat.extend(chain.from_iterable(ids(text) if by_chunks else (encode(text),)))
+            size.append(len(flat))
+            if len(first) + len(later) > CACHE:
+                first.clear()
+                later.clear()
+        mask = pa.array(np.asarray(x.is_null())) if x.null_count else None
+        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.frombuffer(flat, np.int64)), mask=mask)
+
+    return F.arrow_udf(run, "array<bigint>")
+
+
+def byte_level_bpe(vocab: dict[str, int], merges: Iterable[tuple[str, str]], unk: str = "<unk>", add_prefix_space: bool = False) -> ByteLevelBPE:
+    return ByteLevelBPE(vocab, merges, unk, add_prefix_space)
+
+
+def char_bpe(vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = "</w>", unk: str = "<unk>") -> CharBPE:
+    return CharBPE(vocab, merges, unk, suffix)
+
+
+def wordpiece(vocab: dict[str, int], prefix: str = "##", unk: str = "[UNK]") -> WordPiece:
+    return WordPiece(vocab, prefix, unk)
+
+
+def unigram(pieces: list[tuple[str, float]], unk: str = "<unk>") -> Unigram:
+    return Unigram(pieces, next((i for i, (p, _) in enumerate(pieces) if p == unk), 0))
+
+
+def word_level(vocab: dict[str, int], unk: str = "<unk>") -> WordLevel:
+    return WordLevel(vocab, unk)
+
+
 def bpe_fold(pieces: Column, merges: list[tuple[str, str]]) -> Column:
     """Tokens of each piece, joined by U+0001, by applying all merges in rank order; JVM-side, for short causal merge lists.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -106,6 +106,18 @@ def truncate(a: Column, b: Column | None, most: int, strategy: str = "longest_fi
     return F.slice(a, F.lit(1), na), None if b is None else F.slice(b, F.lit(1), nb)
 
 
+@dataclass(frozen=True)
+class Padding:
+    """Fixed(length), or without a length to the longest of the batch: of the whole table, here."""
+
+    length: int | None = None
+
+    def target(self, df: DataFrame, ids: Column) -> int:
+        if self.length is not None:
+            return self.length
+        return df.agg(F.max(F.size(ids))).first()[0] or 0
+
+
 def pad(a: Column, to: int | Column, pad_id: int = 0, left: bool = False) -> Column:
     to = F.lit(to) if isinstance(to, int) else to
     fill = F.array_repeat(F.lit(pad_id).cast("long"), F.greatest(F.lit(0), to - F.size(a)).cast("int"))

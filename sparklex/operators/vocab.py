@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,16 @@ def tokens_of(names: dict[int, str], skip: frozenset[int] = frozenset(), drop: b
     """array<bigint> -> array<string>; unknown or skipped ids become null, or go if drop is set."""
 
     def run(x: pa.Array) -> pa.Array:
-        look = lambda i: None if i in skip else names.get(i)
-        rows = [None if r is None else [look(i) for i in r] for r in x.to_pylist()]
-        return pa.array([r if r is None or not drop else [t for t in r if t is not None] for r in rows], pa.list_(pa.string()))
+        flat, n = x.flatten(), np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64)
+        coded = flat.dictionary_encode()  # each id of a batch is looked up once
+        known = pa.array([None if i in skip else names.get(i) for i in coded.dictionary.to_pylist()], pa.string())
+        out = known.take(coded.indices)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        if drop:
+            ok = np.asarray(out.is_valid())
+            edge = np.concatenate([[0], np.cumsum(ok)])[edge]
+            out = out.drop_null()
+        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), out, mask=pa.array(np.asarray(x.is_null())) if x.null_count else None)
 
     return F.arrow_udf(run, "array<string>")
 

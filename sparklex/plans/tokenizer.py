@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import encoding as E
 from ..operators.decoders import ByteLevel as ByteDecoder
 from ..operators.decoders import Decoder, Fuse, clean_up
-from ..operators.models import BPE, encoder
+from ..operators.models import BPE, CACHE, encoder, text_encoder
 from ..operators.normalizers import Form, Normalizer
 from ..operators.postprocessors import PostProcessor
 from ..operators.pretokenizers import ByteLevel, PreTokenizer
@@ -148,6 +150,18 @@ class Tokenizer:
     def special_tokens(self) -> dict[str, int]:
         return {t.content: t.id for t in self.added if t.special}
 
+    @property
+    def all_special_tokens(self) -> list[str]:
+        return [t for t, _ in sorted(self.special_tokens.items(), key=lambda x: x[1])]
+
+    @property
+    def all_special_ids(self) -> list[int]:
+        return sorted(self.special_tokens.values())
+
+    @property
+    def is_fast(self) -> bool:
+        return True
+
     def special(self, name: str) -> tuple[str, int] | None:
         """(token, id) of bos, eos, pad, unk, sep, cls or mask."""
         t = dict(self.named).get(name)
@@ -185,10 +199,18 @@ class Tokenizer:
     def encode(self, c: Column) -> Column:
         """ids of a text, added tokens taken whole; no post-processor."""
         match, model = AddedMatcher(self.added), self.model
-        return encoder((lambda w: match.encode(w, model.encode_text)) if self.added else model.encode_text)(self.pieces(c))
+        return self._encoder((lambda w: match.encode(w, model.encode_text)) if self.added else model.encode_text)(c)
+
+    def _encoder(self, encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
+        """Texts to ids by encode of each piece; pieces are cut in the UDF where the pre-tokenizer has a form for that."""
+        split = None if self.pre_tokenizer is None else self.pre_tokenizer.scalar()
+        if split is None:
+            return lambda c: encoder(encode)(self.pieces(c))
+        whole = text_encoder(lambda t: [i for p in split(t) for i in encode(p)])
+        return lambda c: whole(c if self.normalizer is None else self.normalizer.expr(c))
 
     def tokenize(self, c: Column) -> Column:
-        return tokens_of(self.model.names())(encoder(self.model.encode_text)(self.pieces(c)))
+        return tokens_of(self.model.names())(self._encoder(self.model.encode_text)(c))
 
     def decode(self, ids: Column, skip_special_tokens: bool = True, clean: bool = True) -> Column:
         """Text of ids; ids outside the model's vocabulary vanish."""
@@ -253,35 +275,52 @@ class Tokenizer:
         mask = F.transform(both, lambda x: F.greatest(x["m"], F.array_contains(specials, x["i"]).cast("long")))
         return E.with_fields(e, ids=ids, attention_mask=grown("attention_mask", 1), type_ids=grown("type_ids", 0), special_tokens_mask=mask)
 
+    def _length(self, text: Column, pair: Column | None, add_special_tokens: bool) -> Column:
+        """How many ids the Encoding of a text or pair has, without the Encoding."""
+        count = self._encoder(self.model.encode_text)
+        ids = count(text) if pair is None else F.concat(count(text), count(pair))
+        return F.size(self.post_processor.expr(ids) if add_special_tokens and self.post_processor is not None else ids)
+
     def _one(self, text: Column, seq: int) -> Column:
         """Pieces are looked for one after the other in the original's bytes; a changed piece takes its own length."""
         model = self.model
         names = model.names()
+        known: dict[str, tuple] = {}
+
+        def look(p: str) -> tuple:
+            """(what of p to look for, ids, tokens, bytes of each token, bytes of p); kept for the worker's life."""
+            if p not in known:
+                if len(known) > CACHE:
+                    known.clear()
+                ids = model.encode_text(p)
+                tokens = [names[i] for i in ids]
+                known[p] = (p.lstrip("Ġ▁") or p).encode("utf-8"), ids, tokens, [len(t.encode("utf-8")) for t in tokens], len(p.encode("utf-8"))
+            return known[p]
 
         def run(pieces: pa.Array, original: pa.Array) -> pa.Array:
-            out = []
+            size, ids, tokens, starts, ends, words = [0], array("q"), [], array("q"), array("q"), array("q")
+            absent = []
             for ps, t in zip(pieces.to_pylist(), original.to_pylist()):
-                if ps is None or t is None:
-                    out.append(None)
-                    continue
-                raw, at = t.encode("utf-8"), 0
-                r: dict[str, list] = {k: [] for k in ("ids", "tokens", "offsets", "word_ids")}
-                for k, p in enumerate(ps):
-                    core = (p.lstrip("Ġ▁") or p).encode("utf-8")
+                absent.append(ps is None or t is None)
+                raw, at = b"" if t is None else t.encode("utf-8"), 0
+                for k, p in enumerate(() if absent[-1] else ps):
+                    core, mine, text, sizes, length = look(p)
                     i = raw.find(core, at)
-                    start, end = (i, i + len(core)) if i >= 0 else (at, min(at + len(p.encode("utf-8")), len(raw)))
+                    start, end = (i, i + len(core)) if i >= 0 else (at, min(at + length, len(raw)))
+                    ids.extend(mine)
+                    tokens += text
+                    words.extend([k] * len(mine))
                     pos = start
-                    for x in model.encode_text(p):
-                        size = len(names[x].encode("utf-8"))
-                        r["ids"].append(x)
-                        r["tokens"].append(names[x])
-                        r["offsets"].append({"start": min(pos, end), "end": min(pos + size, end)})
-                        r["word_ids"].append(k)
-                        pos += size
+                    for n in sizes:
+                        starts.append(min(pos, end))
+                        pos += n
+                        ends.append(min(pos, end))
                     at = end
-                out.append(r)
-            kind = pa.struct([("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.string())), ("offsets", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("word_ids", pa.list_(pa.int64()))])
-            return pa.array(out, kind)
+                size.append(len(ids))
+            off, mask = pa.array(size, pa.int32()), pa.array(absent)
+            long = lambda x: pa.array(np.frombuffer(x, np.int64))
+            flat = {"ids": long(ids), "tokens": pa.array(tokens, pa.string()), "offsets": pa.StructArray.from_arrays([long(starts), long(ends)], ["start", "end"]), "word_ids": long(words)}
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(off, x) for x in flat.values()], list(flat), mask=mask)
 
         got = F.arrow_udf(run, "struct<ids:array<bigint>,tokens:array<string>,offsets:array<struct<start:bigint,end:bigint>>,word_ids:array<bigint>>")(self.pieces(text), text)
         all_ = lambda v: F.transform(got["ids"], lambda _: F.lit(v).cast("long"))
@@ -321,8 +360,8 @@ class Tokenizer:
         if padding:
             to: int | Column = most
             if padding in (True, "longest") and max_length is None:
-                longest = out.agg(F.max(F.size("encoding.ids")).alias("_to"))
-                out, to = out.crossJoin(F.broadcast(longest)), F.col("_to")
+                longest = df.agg(F.max(self._length(F.col(text), None if pair is None else F.col(pair), add_special_tokens)).alias("_to"))  # one row
+                out, to = out.crossJoin(F.broadcast(longest.select(F.least("_to", F.lit(most)).alias("_to") if truncation else "_to"))), F.col("_to")
             pid = self._pad_id()
             out = out.withColumn("encoding", E.pad(F.col("encoding"), to, pid, self.model.id_to_token(pid) or "<pad>", self.padding_side == "left")).drop("_to")
         return out if fields == E.FIELDS else out.withColumn("encoding", F.struct(*[F.col("encoding")[f].alias(f) for f in fields]))
@@ -343,9 +382,16 @@ class Tokenizer:
         return replace(self, model=BPE(vocab, merges), added=added, named=tuple(sorted(name_specials(list(added)).items())))
 
     def register(self, spark: SparkSession, prefix: str = "tok") -> None:
-        """SQL functions <prefix>_encode(pieces) and <prefix>_tokens(ids)."""
+        """SQL functions <prefix>_encode(pieces) and <prefix>_tokens(ids), and the table function <prefix>_rows(pieces): (pos, id, token)."""
+        from pyspark.sql.functions import udtf
+
         model, names = self.model, self.model.names()
-        from pyspark.sql.types import ArrayType, LongType, StringType
 
-        spark.udf.register(f"{prefix}_encode", lambda ps: None if ps is None else [i for p in ps for i in model.encode_text(p)], ArrayType(LongType()))
-        spark.udf.register(f"{prefix}_tokens", lambda ids: None if ids is None else [names.get(i) for i in ids], ArrayType(StringType()))
+        class Rows:
+            def eval(self, pieces: list):
+                for pos, i in enumerate(i for p in pieces or [] for i in model.encode_text(p)):
+                    yield pos, i, names.get(i)
+
+        spark.udf.register(f"{prefix}_encode", encoder(model.encode_text))
+        spark.udf.register(f"{prefix}_tokens", tokens_of(names))
+        spark.udtf.register(f"{prefix}_rows", udtf(Rows, returnType="pos int, id long, token string"))

@@ -7,9 +7,11 @@ to MAX_WORDS distinct words; a larger one raises, with the advice to raise min_f
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +207,18 @@ class Trainer:
     def count(self, texts: DataFrame, text: str = "text") -> DataFrame:
         return word_counts(texts, self.pieces(F.col(text)), self.min_word_length)
 
+    def save(self, path: str, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+        """A tokenizer.json of fixed layout: BPE, byte-level splitting and decoding, the special tokens by their place."""
+        flags = {"special": True, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+        made = {
+            "version": "1.0",
+            "model": {"type": "BPE", "vocab": vocab, "merges": [f"{a} {b}" for a, b in merges]},
+            "added_tokens": [{"id": i, "content": t, **flags} for i, t in enumerate(self.special_tokens)],
+            "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+            "decoder": {"type": "ByteLevel"},
+        }
+        Path(path).write_text(json.dumps(made, ensure_ascii=False, indent=2), encoding="utf-8")
+
     def finish(self, counts: DataFrame) -> tuple[dict[str, int], list[tuple[str, str]]]:
         return self.train_words(collected(counts.where(F.col("freq") >= self.min_frequency)))
 
@@ -226,7 +240,10 @@ class Trainer:
             if not scored:
                 break
             done = 0
-            for _, *p in heapq.nlargest(self.every * 4, scored):
+            scored = [_Greatest(x) for x in scored]
+            heapq.heapify(scored)
+            while scored:
+                _, *p = heapq.heappop(scored).key
                 p = tuple(p)
                 if state.freq.get(p, 0) <= 0:
                     continue
@@ -257,25 +274,52 @@ class WordPieceTrainer:
         return self.train_words(collected(self.count(texts, text)))
 
     def train_words(self, words: Words) -> WordPiece:
+        """The most frequent pair of neighbours whose join is new becomes a piece; words that hold its text are split anew."""
         vocab = {t: i for i, t in enumerate(self.special_tokens)}
         for c in sorted({c for w, _ in words for c in w}):
             vocab.setdefault(c, len(vocab))
-        while len(vocab) < self.vocab_size:
-            model, pairs = WordPiece(vocab, self.prefix, "[UNK]", self.max_chars), Counter()
-            for w, f in words:
-                at, tokens = 0, []
-                for p in model.pieces(w):  # an unknown character still counts as itself
-                    tokens.append(p if p is not None else (self.prefix if at else "") + w[at])
-                    at += 1 if p is None else len(p) - (len(self.prefix) if at else 0)
-                for p in zip(tokens, tokens[1:]):
-                    pairs[p] += f
-            join = lambda p: p[0] + (p[1].removeprefix(self.prefix))
-            new = [(f, *p) for p, f in pairs.items() if join(p) not in vocab]
-            if not new:
-                break
-            _, *best = max(new)
-            vocab[join(best)] = len(vocab)
-        return WordPiece(vocab, self.prefix, "[UNK]", self.max_chars)
+        model = WordPiece(vocab, self.prefix, "[UNK]", self.max_chars)
+        join = lambda p: p[0] + (p[1].removeprefix(self.prefix))
+
+        def split(w: str) -> list[str]:
+            at, tokens = 0, []
+            for p in model.pieces(w):  # an unknown character still counts as itself
+                tokens.append(p if p is not None else (self.prefix if at else "") + w[at])
+                at += 1 if p is None else len(p) - (len(self.prefix) if at else 0)
+            return tokens
+
+        now = [split(w) for w, _ in words]
+        freq: Counter = Counter()
+        holds: defaultdict = defaultdict(set)  # words by two neighbouring characters
+        for k, tokens in enumerate(now):
+            for p in zip(tokens, tokens[1:]):
+                freq[p] += words[k][1]
+            for p in zip(words[k][0], words[k][0][1:]):
+                holds[p].add(k)
+        heap = [_Greatest((f, *p)) for p, f in freq.items()]
+        heapq.heapify(heap)
+        while len(model.vocab) < self.vocab_size and heap:
+            f, *best = heapq.heappop(heap).key
+            best = tuple(best)
+            if freq.get(best, 0) != f or f <= 0 or join(best) in model.vocab:
+                continue
+            model.add(join(best))
+            changed = set()
+            text = join(best).removeprefix(self.prefix)
+            for k in sorted(min((holds.get(p, set()) for p in zip(text, text[1:])), key=len)):
+                if text not in words[k][0] or (new := split(words[k][0])) == now[k]:
+                    continue
+                for p in zip(now[k], now[k][1:]):
+                    freq[p] -= words[k][1]
+                    changed.add(p)
+                for p in zip(new, new[1:]):
+                    freq[p] += words[k][1]
+                    changed.add(p)
+                now[k] = new
+            for p in changed:
+                if freq[p] > 0:
+                    heapq.heappush(heap, _Greatest((freq[p], *p)))
+        return WordPiece(model.vocab, self.prefix, "[UNK]", self.max_chars)
 
 
 @dataclass

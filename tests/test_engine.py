@@ -1,7 +1,9 @@
 """Stages, models, encodings, trainers and the facade: literal cases and scalar-against-Column checks."""
 
+import collections
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,6 +280,7 @@ def test_facade(spark, tmp_path):
     assert "lo" in new.get_vocab() and new.special("bos")[0] == "<s>"
     t.register(spark, "demo")
     assert spark.sql("select demo_encode(array('hello')), demo_tokens(array(8L))").first()[0] == [8]
+    assert [r["id"] for r in spark.sql("select * from demo_rows(array('hello'))").collect()] == [8]
     with pytest.raises(ValueError):
         Tokenizer.from_str(json.dumps({"model": {"vocab": [["a", 0.0]], "merges": []}}))
 
@@ -335,3 +338,75 @@ def test_corpus_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["word"]: r["freq"] for r in spark.table("live_counts").collect()} == {"one": 1, "two": 3}
+
+
+def test_models_without_an_unknown_entry():
+    merges = [("a", "b")]
+    assert M.ByteLevelBPE({"ab": 1}, merges).encode_text("abz") == [1, 0]
+    assert M.CharBPE({"ab": 1, "z</w>": 2}, merges).encode_text("abz abq") == [1, 2, 1, 0]
+
+
+def test_text_encoder_equals_the_model(spark):
+    rnd = random.Random(4)
+    made = ["".join(rnd.choice(["a", "b", " ", "  ", "\n", "é", "'s", "7", ".", "\t", "\u00a0", "\x1c"]) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    df = texts(spark, *made, None)
+    vocab = {c: i for i, c in enumerate(sorted({*"".join(map(encode_bytes, made)), *"ab"}))} | {"ab": 900, "Ġa": 901}
+    tok = Tokenizer(M.BPE(vocab, [("a", "b"), ("Ġ", "a")]), None, T.ByteLevel())
+    a, b = F.col("text"), M.encoder(tok.model.encode_text)(T.ByteLevel().expr(F.col("text")))
+    assert all(r[0] == r[1] for r in df.select(tok.encode(a), b).collect())
+    for m in (M.ByteLevelBPE(vocab, tok.model.merges), M.CharBPE(vocab, []), M.WordPiece({"[UNK]": 0, "a": 1, "##b": 2}), M.Unigram([("<unk>", 0.0), ("a", -1.0), (" ", -2.0), ("ab", -1.5)])):
+        assert m.by_chunks()
+        got = df.select("text", M.text_encoder(m.encode_text, m.by_chunks())(a).alias("x")).collect()
+        assert all(r["x"] == (None if r["text"] is None else m.encode_text(r["text"])) for r in got)
+
+
+def test_split_with_unicode_classes(spark):
+    def got(pattern, text, **how):
+        return texts(spark, text).select(T.Split(pattern, **how).expr(F.col("text"))).first()[0]
+
+    assert got(r"\w+", "café naïve x") == ["café", "naïve", "x"]
+    assert got(r"\s+", "a\u00a0b", invert=True) == ["a", "b"]
+    assert got(r"\p{Lu}\p{Ll}+", "Hello WorldÉté") == ["Hello", "World", "Été"]
+    assert got(r"\p{Han}+", "ab漢字c") == ["漢字"]
+    assert got(r"\p{Script=Greek}+", "abγδ") == ["γδ"] and got("[[:digit:]]+", "a1٣") == ["1"]
+    assert got(r"a(?=b)", "ab") == ["ab"] and got(r"(a)\1", "aa") == ["aa"] and got("(", "x(") == ["x("]
+    for how, want in {"Isolated": ["a\x01b", ",", "c"], "MergedWithPrevious": ["a\x01b,", "c"], "MergedWithNext": ["a\x01b", ",c"], "Contiguous": ["a\x01b", ",", "c"]}.items():
+        assert got(",", "a\x01b,c", behavior=how) == want
+    assert got(",", ",,a,,b", behavior="MergedWithPrevious") == [",,", "a,,", "b"]
+    assert got(",", ",,a,,", behavior="MergedWithNext") == [",", ",a", ",", ","]
+    assert got(",", ",,a,,", behavior="Contiguous") == [",,", "a", ",,"]
+    assert got(",", "", behavior="Isolated") == [""] and got("a$", "a\n", behavior="Isolated") == ["a\n"]
+
+
+def test_wordpiece_training_splits_only_what_changed():
+    def slow(t, words):
+        vocab = {x: i for i, x in enumerate(t.special_tokens)}
+        for c in sorted({c for w, _ in words for c in w}):
+            vocab.setdefault(c, len(vocab))
+        while len(vocab) < t.vocab_size:
+            model, pairs = M.WordPiece(vocab, t.prefix), collections.Counter()
+            for w, f in words:
+                at, tokens = 0, []
+                for p in model.pieces(w):
+                    tokens.append(p if p is not None else ("##" if at else "") + w[at])
+                    at += 1 if p is None else len(p) - (2 if at else 0)
+                for p in zip(tokens, tokens[1:]):
+                    pairs[p] += f
+            new = [(f, *p) for p, f in pairs.items() if p[0] + p[1].removeprefix("##") not in vocab]
+            if not new:
+                break
+            _, a, b = max(new)
+            vocab[a + b.removeprefix("##")] = len(vocab)
+        return vocab
+
+    rnd = random.Random(1)
+    for _ in range(20):
+        words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 8))): rnd.randint(1, 9) for _ in range(40)}.items())
+        t = R.WordPieceTrainer(vocab_size=60)
+        assert t.train_words(words).vocab == slow(t, words)
+
+
+def test_trainer_save(tmp_path):
+    R.Trainer().save(str(tmp_path / "t.json"), {"</s>": 0, "a": 1, "b": 2, "ab": 3}, [("a", "b")])
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert t.model.merges == [("a", "b")] and t.all_special_tokens[0] == "</s>" and t.all_special_ids[:1] == [0] and t.is_fast
