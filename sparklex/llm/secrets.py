@@ -25,6 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ._store import fresh, name
 
 Query = tuple  # ("all",) | ("tri", t) | ("and", q...) | ("or", q...)
@@ -166,11 +167,6 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return lists.select(F.explode(each).alias("x")).groupBy("x.key").agg(F.bit_or("x.rule").alias("rules"))
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once: inside a lambda an outer expression is evaluated again at each step."""
-    return F.transform(F.array(value), then)[0]
-
-
 def running(a: Column, kind: str, step: Callable[[Column, Column], Column], zero: Column) -> Column:
     """The running fold of an array, without the first value; by blocks, as appending to one array copies it each time."""
     none = F.array().cast(f"array<{kind}>")
