@@ -10,7 +10,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
-NAMES = ("norm_bert", "pretok_gpt2", "pretok_bytelevel", "bpe_encode", "wordpiece_encode", "unigram_encode", "decode_bytelevel", "decode_cleanup", "train_word_counts", "train_pair_counts", "chat_chatml", "e2e_tokens_per_lang")
+NAMES = ("norm_bert", "pretok_gpt2", "pretok_bytelevel", "bpe_encode", "bytelevel_bpe_encode", "charbpe_encode", "wordpiece_encode", "unigram_encode", "tok_encoding", "tok_decode_raw", "decode_cleanup", "train_word_counts", "train_pair_counts", "chat_chatml", "e2e_tokens_per_lang")
 
 
 def main() -> None:
@@ -21,7 +21,7 @@ def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.files.openCostInBytes", "0").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf}/documents.parquet").selectExpr("max(length(text))").collect()

@@ -55,6 +55,7 @@ def byte_alphabet() -> list[str]:
 
 
 ALPHABET = byte_alphabet()
+_FORTH = dict(enumerate(ALPHABET))
 MOVED_FROM = "".join(chr(b) for b in range(256) if ALPHABET[b] != chr(b))
 MOVED_TO = "".join(ALPHABET[b] for b in range(256) if ALPHABET[b] != chr(b))
 
@@ -82,15 +83,16 @@ def gpt2_pieces(text: str) -> list[str]:
 
 
 def encode_bytes(text: str) -> str:
-    return "".join(ALPHABET[b] for b in text.encode("utf-8"))
+    return text.encode("utf-8").decode("latin-1").translate(_FORTH)
+
+
+_BACK = {c: b for b, c in enumerate(ALPHABET)}
+
+
+def token_bytes(text: str) -> bytes:
+    """The bytes that printable characters stand for; other ASCII stands for itself, other characters are dropped."""
+    return bytes(b for c in text if (b := _BACK.get(c, ord(c))) < 256 and (c in _BACK or ord(c) < 128))
 
 
 def decode_bytes(text: str) -> str:
-    back = {c: b for b, c in enumerate(ALPHABET)}
-    raw = bytearray()
-    for c in text:
-        if c in back:
-            raw.append(back[c])
-        elif ord(c) < 128:
-            raw.append(ord(c))
-    return raw.decode("utf-8", "replace")
+    return token_bytes(text).decode("utf-8", "replace")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 FIELDS = ("ids", "type_ids", "tokens", "attention_mask", "special_tokens_mask", "offsets", "word_ids", "sequence_ids")
 SCHEMA = "struct<ids:array<bigint>,type_ids:array<bigint>,tokens:array<string>,attention_mask:array<bigint>,special_tokens_mask:array<bigint>,offsets:array<struct<start:bigint,end:bigint>>,word_ids:array<bigint>,sequence_ids:array<bigint>>"
 
@@ -13,8 +15,20 @@ def _fill(n: Column, value: int | None) -> Column:
     return F.array_repeat(F.lit(value).cast("long"), n.cast("int"))
 
 
+TYPES = dict(zip(FIELDS, ("array<bigint>", "array<bigint>", "array<string>", "array<bigint>", "array<bigint>", "array<struct<start:bigint,end:bigint>>", "array<bigint>", "array<bigint>")))
+
+
 def build(**fields: Column) -> Column:
-    return F.struct(*[fields[f].alias(f) for f in FIELDS]).cast(SCHEMA)
+    """The struct; it remembers its parts, so that an operator on it does not repeat the whole struct for each field."""
+    parts = {f: fields[f].cast(TYPES[f]) for f in FIELDS}
+    out = F.struct(*[parts[f].alias(f) for f in FIELDS])
+    out.__dict__["_parts"] = parts
+    return out
+
+
+def part(e: Column, f: str) -> Column:
+    """Field f of an Encoding."""
+    return e.__dict__["_parts"][f] if "_parts" in e.__dict__ else e[f]
 
 
 def from_ids(ids: Column, tokens: Column) -> Column:
@@ -24,29 +38,29 @@ def from_ids(ids: Column, tokens: Column) -> Column:
 
 
 def with_fields(e: Column, **fields: Column) -> Column:
-    return build(**{f: fields.get(f, e[f]) for f in FIELDS})
+    return build(**{f: fields.get(f, part(e, f)) for f in FIELDS})
 
 
 def set_type_ids(e: Column, start: int, end: int, value: int) -> Column:
-    return with_fields(e, type_ids=F.transform(e["type_ids"], lambda x, i: F.when((i >= start) & (i < end), F.lit(value).cast("long")).otherwise(x)))
+    return with_fields(e, type_ids=F.transform(part(e, "type_ids"), lambda x, i: F.when((i >= start) & (i < end), F.lit(value).cast("long")).otherwise(x)))
 
 
 def mark_special_tokens(e: Column, specials: list[int]) -> Column:
     s = F.array(*[F.lit(x).cast("long") for x in specials])
-    return with_fields(e, special_tokens_mask=F.transform(F.arrays_zip(e["ids"].alias("a"), e["special_tokens_mask"].alias("b")), lambda x: F.when(F.array_contains(s, x["a"]), F.lit(1).cast("long")).otherwise(x["b"])))
+    return with_fields(e, special_tokens_mask=F.transform(F.arrays_zip(part(e, "ids").alias("a"), part(e, "special_tokens_mask").alias("b")), lambda x: F.when(F.array_contains(s, x["a"]), F.lit(1).cast("long")).otherwise(x["b"])))
 
 
 def pad(e: Column, to: int | Column, pad_id: int = 0, pad_token: str = "<pad>", left: bool = False) -> Column:
     """Offsets and word ids are not padded."""
     to = F.lit(to) if isinstance(to, int) else to
-    n = F.greatest(F.lit(0), to - F.size(e["ids"])).cast("int")
+    n = F.greatest(F.lit(0), to - F.size(part(e, "ids"))).cast("int")
     put = lambda c, fill: F.concat(fill, c) if left else F.concat(c, fill)
     values = {"ids": pad_id, "type_ids": 0, "attention_mask": 0, "special_tokens_mask": 1, "sequence_ids": None}
-    return with_fields(e, tokens=put(e["tokens"], F.array_repeat(F.lit(pad_token), n)), **{f: put(e[f], _fill(n, v)) for f, v in values.items()})
+    return with_fields(e, tokens=put(part(e, "tokens"), F.array_repeat(F.lit(pad_token), n)), **{f: put(part(e, f), _fill(n, v)) for f, v in values.items()})
 
 
 def _window(e: Column, start: Column, n: Column) -> Column:
-    return build(**{f: F.slice(e[f], (start + 1).cast("int"), F.greatest(F.lit(0), F.least(n, F.size(e[f]) - start)).cast("int")) for f in FIELDS})
+    return build(**{f: F.slice(part(e, f), (start + 1).cast("int"), F.greatest(F.lit(0), F.least(n, F.size(part(e, f)) - start)).cast("int")) for f in FIELDS})
 
 
 def truncate(e: Column, most: int) -> Column:
@@ -55,7 +69,7 @@ def truncate(e: Column, most: int) -> Column:
 
 def overflow(e: Column, most: int, stride: int = 0) -> Column:
     """array of the windows beyond the first `most` tokens; without a stride they are one remainder."""
-    n = F.size(e["ids"])
+    n = F.size(part(e, "ids"))
     none = F.array().cast(f"array<{SCHEMA}>")
     if stride == 0:
         return F.when(n > most, F.array(_window(e, F.lit(most), n - most))).otherwise(none)
@@ -63,34 +77,34 @@ def overflow(e: Column, most: int, stride: int = 0) -> Column:
         raise ValueError("stride must be less than max_length")
     # window k >= 1 starts at most + (k-1)(most-stride) - stride while that is less than n - stride
     starts = F.sequence(F.lit(most - stride), F.greatest(F.lit(most - stride), n - stride - 1), F.lit(most - stride))
-    return F.when(n > most, F.transform(starts, lambda s: _window(e, s, F.lit(most)))).otherwise(none)
+    return F.when(n > most, let(e, lambda x: F.transform(starts, lambda s: _window(x, s, F.lit(most))))).otherwise(none)
 
 
 def merge(a: Column, b: Column, type_id: int) -> Column:
-    return build(**{f: F.concat(a[f], F.transform(b[f], lambda _: F.lit(type_id).cast("long")) if f == "type_ids" else b[f]) for f in FIELDS})
+    return build(**{f: F.concat(part(a, f), F.transform(part(b, f), lambda _: F.lit(type_id).cast("long")) if f == "type_ids" else part(b, f)) for f in FIELDS})
 
 
 def token_to_chars(e: Column, i: Column) -> Column:
-    return F.get(e["offsets"], i)
+    return F.get(part(e, "offsets"), i)
 
 
 def token_to_word(e: Column, i: Column) -> Column:
-    return F.get(e["word_ids"], i)
+    return F.get(part(e, "word_ids"), i)
 
 
 def token_to_sequence(e: Column, i: Column) -> Column:
-    return F.get(e["sequence_ids"], i)
+    return F.get(part(e, "sequence_ids"), i)
 
 
 def char_to_token(e: Column, pos: Column, sequence: int | None = None) -> Column:
-    z = F.transform(F.arrays_zip(e["offsets"].alias("o"), e["sequence_ids"].alias("s")), lambda x, i: F.struct(i.cast("long").alias("i"), x["o"].alias("o"), x["s"].alias("s")))
+    z = F.transform(F.arrays_zip(part(e, "offsets").alias("o"), part(e, "sequence_ids").alias("s")), lambda x, i: F.struct(i.cast("long").alias("i"), x["o"].alias("o"), x["s"].alias("s")))
     hit = F.filter(z, lambda x: (x["o"]["start"] <= pos) & (pos < x["o"]["end"]) & (F.lit(True) if sequence is None else x["s"] == sequence))
     return F.get(hit, F.lit(0))["i"]
 
 
 def _numbered(e: Column) -> Column:
     """Each token's index i, word, sequence and character span."""
-    z = F.arrays_zip(e["word_ids"].alias("w"), e["sequence_ids"].alias("s"), e["offsets"].alias("o"))
+    z = F.arrays_zip(part(e, "word_ids").alias("w"), part(e, "sequence_ids").alias("s"), part(e, "offsets").alias("o"))
     return F.transform(z, lambda x, i: F.struct(i.cast("long").alias("i"), x["w"].alias("w"), x["s"].alias("s"), x["o"].alias("o")))
 
 
@@ -111,13 +125,16 @@ def word_to_tokens(e: Column, word: Column, sequence: int = 0) -> Column:
 
 def word_to_chars(e: Column, word: Column, sequence: int = 0) -> Column:
     """{start, end} of the characters under a word's tokens; null if there are none."""
-    span = word_to_tokens(e, word, sequence)
-    under = F.filter(_numbered(e), lambda x: (x["i"] >= span["start"]) & (x["i"] < span["end"]) & x["o"].isNotNull())
-    return _span(F.array_min(F.transform(under, lambda x: x["o"]["start"])), F.array_max(F.transform(under, lambda x: x["o"]["end"])))
+
+    def chars(x: Column) -> Column:
+        under = F.filter(x["all"], lambda t: (t["i"] >= x["span"]["start"]) & (t["i"] < x["span"]["end"]) & t["o"].isNotNull())
+        return let(under, lambda u: _span(F.array_min(F.transform(u, lambda t: t["o"]["start"])), F.array_max(F.transform(u, lambda t: t["o"]["end"]))))
+
+    return let(F.struct(_numbered(e).alias("all"), word_to_tokens(e, word, sequence).alias("span")), chars)
 
 
 def n_words(e: Column) -> Column:
-    return F.coalesce(F.array_max(e["word_ids"]) + 1, F.lit(0).cast("long"))
+    return F.coalesce(F.array_max(part(e, "word_ids")) + 1, F.lit(0).cast("long"))
 
 
 def to_flat(df: DataFrame, key: str, encoding: str = "encoding") -> DataFrame:

@@ -20,12 +20,30 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import decode_bytes, encode_bytes, split_spaces
 
-CACHE = 1 << 17
+CACHE, SHORT, NEVER = 1 << 18, 64, 1 << 60
+
+
+def _merge_short(s: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same for a few symbols: the ranks of all neighbours in a list."""
+    get = ranks.get
+    r = [get(p, NEVER) for p in zip(s, s[1:])]
+    while r and (least := min(r)) != NEVER:
+        i = r.index(least)
+        x = s[i] + s[i + 1]
+        s[i : i + 2] = [x]
+        del r[i]
+        if i:
+            r[i - 1] = get((s[i - 1], x), NEVER)
+        if i < len(r):
+            r[i] = get((x, s[i + 1]), NEVER)
+    return s
 
 
 def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int], skip: Callable[[], bool] | None = None) -> list[str]:
     """Merge the lowest-ranked adjacent pair, leftmost on ties, until none is left (linked list and heap)."""
     n = len(symbols)
+    if n <= SHORT and skip is None:
+        return _merge_short(list(symbols), ranks)
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     sym: list[str | None] = list(symbols)
     heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]

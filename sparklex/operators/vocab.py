@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chars import token_bytes
+
 #: A vocabulary table up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -80,5 +82,16 @@ def tokens_of(names: dict[int, str], skip: frozenset[int] = frozenset(), drop: b
     return F.arrow_udf(run, "array<string>")
 
 
+def byte_texts(names: dict[int, str], skip: frozenset[int] = frozenset()) -> Callable[[Column], Column]:
+    """array<bigint> -> string: the bytes that byte-level tokens stand for, read as UTF-8; unknown and skipped ids vanish."""
+    table = {i: token_bytes(t) for i, t in names.items() if i not in skip}
+
+    def run(x: pa.Array) -> pa.Array:
+        none = b""
+        return pa.array([None if r is None else b"".join([table.get(i, none) for i in r]).decode("utf-8", "replace") for r in x.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
 def special_mask(ids: Column, specials: list[int]) -> Column:
     return F.transform(ids, lambda i: F.when(F.array_contains(F.array(*[F.lit(s).cast("long") for s in specials]) if specials else F.array().cast("array<bigint>"), i), 1).otherwise(0).cast("long"))

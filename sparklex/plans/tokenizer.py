@@ -20,7 +20,7 @@ from ..operators.models import BPE, CACHE, encoder, text_encoder
 from ..operators.normalizers import Form, Normalizer
 from ..operators.postprocessors import PostProcessor
 from ..operators.pretokenizers import ByteLevel, PreTokenizer
-from ..operators.vocab import AddedToken, special_mask, tokens_of
+from ..operators.vocab import AddedToken, byte_texts, special_mask, tokens_of
 from ..sources import tokenizer_json as J
 from .chat import apply_template
 from .training import BpeTrainer
@@ -215,7 +215,10 @@ class Tokenizer:
     def decode(self, ids: Column, skip_special_tokens: bool = True, clean: bool = True) -> Column:
         """Text of ids; ids outside the model's vocabulary vanish."""
         skip = frozenset(self.special_tokens.values()) if skip_special_tokens else frozenset()
-        text = (self.decoder or Fuse()).expr(tokens_of(self.model.names(), skip, drop=True)(ids))
+        if isinstance(self.decoder, ByteDecoder):
+            text = byte_texts(self.model.names(), skip)(ids)
+        else:
+            text = (self.decoder or Fuse()).expr(tokens_of(self.model.names(), skip, drop=True)(ids))
         return clean_up(text) if clean else text
 
     def convert_ids_to_tokens(self, ids: Column, skip_special_tokens: bool = False) -> Column:
@@ -255,21 +258,21 @@ class Tokenizer:
             e = E.merge(e, self._one(pair, 1), 1)
         if not add_special_tokens or self.post_processor is None:
             return e
-        ids = self.post_processor.expr(e["ids"])
-        n = F.size(ids) - F.size(e["ids"])
+        ids = self.post_processor.expr(E.part(e, "ids"))
+        n = F.size(ids) - F.size(E.part(e, "ids"))
         if aligned:
             mark = -(1 << 40)
-            index = self.post_processor.expr(F.transform(e["ids"], lambda _, i: (i + mark).cast("long")))
+            index = self.post_processor.expr(F.transform(E.part(e, "ids"), lambda _, i: (i + mark).cast("long")))
             first = F.array_position(index, F.lit(mark).cast("long"))
             before = F.when(first > 0, first - 1).otherwise(n).cast("int")
 
             def around(f: str, kind: str, value: int | None = None) -> Column:
                 put = lambda k: F.array_repeat(F.lit(value).cast(kind), k)
-                return F.concat(put(before), e[f], put(n - before))
+                return F.concat(put(before), E.part(e, f), put(n - before))
 
             special = F.transform(index, lambda i: (i >= 0).cast("long"))
             return E.build(ids=ids, type_ids=around("type_ids", "bigint", 0), tokens=self.convert_ids_to_tokens(ids), attention_mask=F.transform(ids, lambda _: F.lit(1).cast("long")), special_tokens_mask=special, offsets=around("offsets", "struct<start:bigint,end:bigint>"), word_ids=around("word_ids", "bigint"), sequence_ids=around("sequence_ids", "bigint"))
-        grown = lambda f, v: F.concat(e[f], F.array_repeat(F.lit(v).cast("long"), n))
+        grown = lambda f, v: F.concat(E.part(e, f), F.array_repeat(F.lit(v).cast("long"), n))
         specials = F.array(*[F.lit(x).cast("long") for x in self.special_tokens.values()]) if self.special_tokens else F.array().cast("array<bigint>")
         both = F.arrays_zip(grown("special_tokens_mask", 1).alias("m"), ids.alias("i"))
         mask = F.transform(both, lambda x: F.greatest(x["m"], F.array_contains(specials, x["i"]).cast("long")))
@@ -336,9 +339,9 @@ class Tokenizer:
         e = E.from_ids(ids, names(ids))
         e = e if pair is None else E.merge(e, E.from_ids(pair, names(pair)), 1)
         if add_special_tokens and self.post_processor is not None:
-            out = self.post_processor.expr(e["ids"])
-            n = F.size(out) - F.size(e["ids"])
-            more = lambda f, v: F.concat(e[f], F.array_repeat(F.lit(v).cast("long"), n))
+            out = self.post_processor.expr(E.part(e, "ids"))
+            n = F.size(out) - F.size(E.part(e, "ids"))
+            more = lambda f, v: F.concat(E.part(e, f), F.array_repeat(F.lit(v).cast("long"), n))
             e = E.with_fields(e, ids=out, attention_mask=more("attention_mask", 1), special_tokens_mask=more("special_tokens_mask", 1), type_ids=more("type_ids", 0))
         most = self.model_max_length if max_length is None else max_length
         e = E.truncate(e, most) if truncation else e

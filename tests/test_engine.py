@@ -18,6 +18,7 @@ from sparklex.operators import postprocessors as P
 from sparklex.operators import pretokenizers as T
 from sparklex.operators.vocab import AddedToken
 from sparklex.plans import training as R
+from sparklex.plans.batch import BatchEncoding
 from sparklex.plans.chat import apply_template
 from sparklex.plans.tokenizer import AddedMatcher, Tokenizer
 from sparklex.sources.corpus import read_lines
@@ -410,3 +411,17 @@ def test_trainer_save(tmp_path):
     R.Trainer().save(str(tmp_path / "t.json"), {"</s>": 0, "a": 1, "b": 2, "ab": 3}, [("a", "b")])
     t = Tokenizer.from_file(str(tmp_path / "t.json"))
     assert t.model.merges == [("a", "b")] and t.all_special_tokens[0] == "</s>" and t.all_special_ids[:1] == [0] and t.is_fast
+
+
+def test_batch_encoding(spark):
+    t = Tokenizer(M.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]), None, T.Whitespace())
+    b = BatchEncoding(t(texts(spark, "ab a", "b"), padding=True))
+    assert len(b) == 2 and b.keys()[0] == "input_ids" and b.numpy().tolist() == [[2, 0], [1, 0]] and b.numpy("attention_mask").tolist() == [[1, 1], [1, 0]]
+    assert [r["token_type_ids"] for r in b.to_dict().collect()] == [[0, 0], [0, 0]] and b.get("none") is None
+    with pytest.raises(KeyError):
+        b["none"]
+    with pytest.raises(ValueError):
+        BatchEncoding(t(texts(spark, "ab a", "b"))).numpy()
+    assert P.Padding(7).target(None, None) == 7 and P.Padding().target(b.rows, b["input_ids"]) == 2
+    assert [type(f(x, [])).__name__ for f, x in ((M.byte_level_bpe, {}), (M.char_bpe, {}))] == ["ByteLevelBPE", "CharBPE"] and M.unigram([("a", 0.0), ("<unk>", -9.0)]).unk_id == 1
+    assert M.wordpiece({"[UNK]": 0}).prefix == "##" and M.word_level({"a": 3}).encode_text("a b") == [3, 0]

@@ -25,10 +25,14 @@ def test_query(spark, data, con, name):
     assert collections.Counter(map(tuple, got.select(cols).collect())) == collections.Counter(want.fetchall())
 
 
-def test_encode_needs_no_shuffle_and_reads_two_columns(spark, data):
-    for name in ("bpe_encode", "wordpiece_encode", "unigram_encode"):
-        plan = queries.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+def test_encode_needs_no_shuffle_and_reads_two_columns(spark, data, monkeypatch):
+    from sparklex.sources import corpus
+
+    for size in (0, 1 << 30):  # a large table; a small one, whose rows are dealt to all cores
+        monkeypatch.setattr(corpus, "BYTES_PER_CORE", size)
+        for name in ("bpe_encode", "wordpiece_encode", "unigram_encode", "tok_encode"):
+            plan = queries.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+            assert ("RoundRobinPartitioning" in plan) == (size > 0) and "hashpartitioning" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
 def test_entry_without_optional_parts(spark):
