@@ -6,7 +6,7 @@ AND-ing them returns the mask of all languages that contain it. A text's hits pe
 the language with the largest corrected share of n-grams wins.
 
 Fit on a bounded sample of labelled rows: per language about `per_lang` texts of at most
-MAX_CHARS bytes, drawn by hash. A language's filter takes the n-grams (N bytes of lower-cased
+`max_bytes` bytes, drawn by hash. A language's filter takes the n-grams (N bytes of lower-cased
 text, digits and ASCII punctuation as spaces) that occur in enough of its sample texts.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and when nothing
@@ -29,29 +29,42 @@ from ._text import distinct_pairs, mix, release, slices, tidy
 N, K, MAX_CHARS = (3, 4, 5), 3, 50_000
 
 
-def ngrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of all n-grams of all texts; a space stands before and after each text."""
+def _plain(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets of the rows): lower case, runs of anything but letters as one space, a space around each text."""
     text = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), "")), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
     off = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
-    raw = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]]
     table = np.arange(256, dtype=np.uint8)
     table[[c for c in range(128) if not chr(c).isalpha()]] = 32
-    raw = table[raw]
-    row = np.repeat(np.arange(len(text)), np.diff(off))
+    raw = table[np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]]]
+    off = off - off[0]
     keep = np.ones(len(raw), bool)
-    keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32) | (row[1:] != row[:-1])
-    raw, row = raw[keep].astype(np.uint64), row[keep]
-    rows, out = [], []
-    for n in N:
-        if len(raw) < n:
-            continue
-        g = np.zeros(len(raw) - n + 1, np.uint64)
-        for k in range(n):
-            g |= raw[k : len(raw) - n + 1 + k] << np.uint64(8 * k)
-        ok = row[: len(g)] == row[n - 1 :]
-        rows.append(row[: len(g)][ok])
-        out.append(mix(g[ok] + np.uint64(n << 60)))
-    return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
+    keep[off[:-1]] = True  # each row has its two spaces
+    size = np.add.reduceat(keep.view(np.uint8), off[:-1], dtype=np.int64) if len(col) else np.zeros(0, np.int64)
+    return raw[keep], np.concatenate([[0], np.cumsum(size)])
+
+
+def ngram_blocks(col: pa.Array, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of all n-grams of all texts, in blocks of bounded size however long a text is."""
+    raw, off = _plain(col)
+    for a in range(0, len(raw), block):
+        b = min(a + block, len(raw))
+        part = raw[a : b + max(N) - 1].astype(np.uint64)
+        at = np.arange(a, b)
+        row = np.searchsorted(off, at, "right") - 1
+        left = off[row + 1] - at
+        for n in N:
+            ok = np.flatnonzero(left >= n)
+            g = np.zeros(len(ok), np.uint64)
+            for k in range(n):
+                g |= part[ok + k] << np.uint64(8 * k)
+            yield row[ok], mix(g + np.uint64(n << 60))
+
+
+def ngrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all n-grams of all texts at once."""
+    got = list(ngram_blocks(col))
+    return (np.concatenate([r for r, _ in got]), np.concatenate([g for _, g in got])) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 class LanguageFilter:
@@ -81,13 +94,14 @@ class LanguageFilter:
         n = len(col)
         share = np.zeros((n, len(self.langs)))
         for a, b in slices(col, 1 << 20):
-            row, g = ngrams(col[a:b])
-            m = self.masks(g)  # three probes of a small table cost less than sorting repeated n-grams out
-            total = np.maximum(np.bincount(row, minlength=b - a), 1)
-            for k in range(len(self.langs)):
-                hit = ((m[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
-                hits = np.bincount(row[hit], minlength=b - a) / total
-                share[a:b, k] = np.maximum(0, (hits - self.false[k]) / max(1e-9, 1 - self.false[k]))
+            total, hits = np.zeros(b - a, np.int64), np.zeros((b - a, len(self.langs)), np.int64)
+            for row, g in ngram_blocks(col[a:b]):
+                m = self.masks(g)  # three probes of a small table cost less than sorting repeated n-grams out
+                total += np.bincount(row, minlength=b - a)
+                for k in range(len(self.langs)):
+                    hit = ((m[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+                    hits[:, k] += np.bincount(row[hit], minlength=b - a)
+            share[a:b] = np.maximum(0, (hits / np.maximum(total, 1)[:, None] - self.false) / np.maximum(1e-9, 1 - self.false))
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(col.cast(pa.large_string()), r"\p{L}"), False))
         if not self.langs:
             return ["und"] * n, np.zeros(n)
@@ -110,10 +124,10 @@ def build(langs: list[str], texts: list[pa.Array], share: float = 0.02) -> Langu
     return LanguageFilter(langs, sets)
 
 
-def learn(docs: DataFrame, per_lang: int = 600) -> LanguageFilter:
+def learn(docs: DataFrame, per_lang: int = 600, max_bytes: int = MAX_CHARS) -> LanguageFilter:
     """Fit on rows with a lang whose crc32(doc_id as text) mod 4 is not 2."""
     src = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    src = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_CHARS) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    src = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     n = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(n)
     grain = 1 << 40
@@ -127,9 +141,9 @@ def learn(docs: DataFrame, per_lang: int = 600) -> LanguageFilter:
     return made
 
 
-def language(docs: DataFrame, per_lang: int = 600) -> DataFrame:
+def language(docs: DataFrame, per_lang: int = 600, max_bytes: int = MAX_CHARS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs; only text decides."""
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs, per_lang))
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, per_lang, max_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

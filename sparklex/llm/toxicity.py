@@ -5,7 +5,7 @@ pairs, and pairs with one word left out, hashed to 2**BITS slots. Each coordinat
 weights at zero, so what is broadcast is two short arrays (at most 2**BITS entries).
 
 Fit on a bounded sample of labelled rows: at most `max_rows`, those with the least hash of
-doc_id, of texts up to MAX_CHARS bytes. Everything else runs over all rows and whole texts.
+doc_id, of texts up to `max_bytes` bytes. Everything else runs over all rows and whole texts.
 
 Defined results: null or empty texts have only the bias; labels that are null, or given
 twice with different values, are left out; without labels every score is 0.5 less a hair.
@@ -73,13 +73,13 @@ def fit(col: pa.Array, y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1:
     return at, w[at]
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000, max_bytes: int = MAX_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on labelled documents with crc32(doc_id as text) mod held_out not 0."""
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     lab = lab.where(F.crc32(F.col("_id").cast("string")) % held_out != 0).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
     lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    got = src.where(F.octet_length("text") <= MAX_CHARS).join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).toArrow()
+    got = src.where(F.octet_length("text") <= max_bytes).join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).toArrow()
     order = np.argsort(np.asarray(got["_id"]), kind="stable") if got.num_rows else []
     got = got.take(pa.array(order, pa.int64())).combine_chunks()
     if not got.num_rows:
@@ -100,9 +100,9 @@ def scores(col: pa.Array, at: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000, max_bytes: int = MAX_CHARS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows, max_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,9 +113,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: in
     return src.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 5, max_rows: int = 8_000, max_bytes: int = MAX_CHARS) -> DataFrame:
     """docs without the rows whose score is 0.5 or more; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, max_rows, max_bytes))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

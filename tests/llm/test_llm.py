@@ -195,6 +195,55 @@ def test_op3_filter_returns_all_languages():
         assert ((f.masks(g)[0] >> np.uint64(k)) & np.uint64(1)).all()
 
 
+def brute_ngrams(t):
+    x = re.sub(rb"[\x00-@\[-`{-\x7f]+", b" ", (" " + (t or "").lower() + " ").encode())
+    return [x[i : i + n] for n in langid.N for i in range(len(x) - n + 1)]
+
+
+def test_op3_by_brute_force():
+    rnd = random.Random(9)
+    word = {k: ["".join(rnd.choice(abc) for _ in range(rnd.randint(2, 8))) for _ in range(60)] for k, abc in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "efghiж"))}
+    text = lambda k: " ".join(rnd.choice(word[k]).title() + rnd.choice(["", ",", " 7", "."]) for _ in range(rnd.randint(1, 60)))
+    train = {k: [text(k) for _ in range(30)] for k in word}
+    f = langid.build(list(word), [pa.array(x) for x in train.values()])
+    sets = []
+    for x in train.values():
+        n = collections.Counter(g for t in x for g in set(brute_ngrams(t)))
+        sets.append({g for g, c in n.items() if c >= max(2, 0.02 * len(x))})
+    tests = [text(k) for k in word for _ in range(40)] + ["", None, "12 !", text("aa") + " " + text("bb")]
+    of = [brute_ngrams(t) for t in tests]
+    share = [[sum(g in s for g in b) / max(len(b), 1) for s in sets] for b in of]
+    lang, score = f.predict(pa.array(tests))
+    clear = 0
+    for t, s, k, x in zip(tests, share, lang, score):
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert k == "und" and x == 0
+        elif sorted(s)[-1] - sorted(s)[-2] > 0.02:  # beyond what false positives can turn
+            clear += 1
+            assert k == f.langs[int(np.argmax(s))] and abs(x - max(s) ** 4 / sum(v**4 for v in s)) < 0.1
+    assert clear > 100
+    row, g = langid.ngrams(pa.array(tests))
+    assert collections.Counter(row.tolist()) == collections.Counter({i: len(brute_ngrams(t)) for i, t in enumerate(tests) if brute_ngrams(t)})
+    many = [np.concatenate(x) for x in zip(*langid.ngram_blocks(pa.array(tests), block=37))]
+    assert sorted(zip(*map(np.ndarray.tolist, many))) == sorted(zip(row.tolist(), g.tolist()))
+
+
+def test_op3_memory_does_not_follow_a_long_text():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from sparklex.llm import langid
+f = langid.build(["a"], [pa.array(["some words here"] * 9)])
+t = pa.array(["lorem ipsum dolor "]).cast(pa.large_string())
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+f.predict(pa.array(["lorem ipsum dolor " * 1_100_000]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout) < 400  # MB, for a text of 20 MB
+
+
 def brute_repair(roles):
     """Least cost over all label sequences and merges."""
     best = {0: 0}
@@ -305,6 +354,35 @@ def test_op6_toxicity(spark):
     assert len(toxicity.learn(d, lab)[0]) < 5000
 
 
+def test_op6_fit_by_brute_force():
+    rnd = random.Random(4)
+    words_ = [f"w{i}" for i in range(30)]
+    made = [" ".join(rnd.choice(words_) for _ in range(rnd.randint(0, 12))) for _ in range(80)]
+    y = np.array([float("w3" in t.split() or "w7 w8" in t) for t in made])
+    row, slot = toxicity.features(pa.array(made))
+    for i, t in enumerate(made):
+        w = t.split()
+        parts = {("w", x) for x in w} | {("s", x) for x in w} | {(1, *p) for p in zip(w, w[1:])} | {(2, *p) for p in zip(w, w[2:])}
+        assert (row == i).sum() == 1 + len(parts)
+    z, n, alpha, beta, l1, l2 = collections.defaultdict(float), collections.defaultdict(float), 2.0, 1.0, 0.5, 0.1
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= l1 else -(z[s] - math.copysign(l1, z[s])) / ((beta + math.sqrt(n[s])) / alpha + l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(2):
+        for i in rng.permutation(len(made)):
+            mine = slot[row == i].tolist()
+            p = 1 / (1 + math.exp(-sum(map(weight, mine))))
+            for s, w in [(s, weight(s)) for s in mine]:
+                g = p - y[i]
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / alpha * w
+                n[s] += g * g
+    at, w = toxicity.fit(pa.array(made), y, alpha, beta, l1, l2, 2)
+    want = {s: weight(s) for s in z if weight(s)}
+    assert set(at.tolist()) == set(want) and all(math.isclose(want[s], x, rel_tol=1e-6) for s, x in zip(at.tolist(), w))
+
+
 def test_op6_awkward_rows(docs, spark):
     lab = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (5, 1)], "doc_id long, toxic int")
     got = rows(toxicity.toxicity(docs, lab))
