@@ -39,6 +39,10 @@ def matrix(col: pa.Array, n: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(-1, n)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 class Grid:
     """Leading principal directions by vector length; other lengths use their first components."""
 
@@ -95,7 +99,8 @@ def _reps(emb: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with h, the hash of label and vector (null: links with nothing); and the distinct vectors (label, n, vec, h, times, low)."""
     ok = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     ok = ok & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = emb.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    kind = "float" if emb.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # moved as given, compared in double
+    rows = emb.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{kind}>").alias("vec"))
     rows = rows.withColumn("h", F.when(ok, F.xxhash64("label", "vec")))
     reps = rows.where("h is not null").groupBy("h").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("times"), F.min("vec_id").alias("low"))
     return rows.select("vec_id", "h"), cut(reps.withColumn("n", F.size("vec")))
@@ -112,13 +117,13 @@ def _blocks(reps: DataFrame, grid: Grid) -> DataFrame:
             for n in np.unique(n_):
                 x = b.filter(pa.array(n_ == n))
                 v = matrix(x.column(2), int(n))
-                cells = np.floor(g.project(v / np.linalg.norm(v, axis=1, keepdims=True)) / g.eps).astype(np.int32)
+                cells = np.floor(g.project(unit(v)) / g.eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*x.columns, *[pa.array(cells[:, k]) for k in range(DIMS)]], [*x.schema.names, *[f"c{k}" for k in range(DIMS)]])
 
-    label = reps.schema["label"].dataType.simpleString()
+    label, vec = (reps.schema[c].dataType.simpleString() for c in ("label", "vec"))
     cells = [f"c{k}" for k in range(DIMS)]
     order = ["label", "n", *cells, "h"]
-    placed = reps.select("label", "n", "vec", "h", "times").mapInArrow(tidy(place), f"label {label}, n int, vec array<double>, h long, times long, " + ", ".join(f"{c} int" for c in cells))
+    placed = reps.select("label", "n", "vec", "h", "times").mapInArrow(tidy(place), f"label {label}, n int, vec {vec}, h long, times long, " + ", ".join(f"{c} int" for c in cells))
     placed = placed.repartitionByRange(partitions(reps), *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +135,8 @@ def _blocks(reps: DataFrame, grid: Grid) -> DataFrame:
             for i, j in zip(edge[:-1], edge[1:]):
                 for s in range(i, j, BLOCK):
                     x = b.slice(s, min(BLOCK, j - s))
-                    v = matrix(x.column(2), int(n_[s]))
-                    v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    p = g.project(v)
+                    p = g.project(unit(matrix(x.column(2), int(n_[s]))))
+                    v = np.asarray(x.column(2).flatten())
                     one = [[(part << 32) | made], [lab[s]], [int(n_[s])], [x.num_rows], [p.min(0).tolist()], [p.max(0).tolist()], [np.asarray(x.column(3)).tobytes()], [np.asarray(x.column(4)).tobytes()], [v.tobytes()]]
                     made += 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.int64(), b.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()))], ["bid", "label", "n", "size", "lo", "hi", "h", "times", "vec"])
@@ -161,14 +165,14 @@ def near(emb: DataFrame, cosine: float = 0.98) -> DataFrame:
     right = blocks.select(F.col("bid").alias("b"), F.col("h").alias("h2"), F.col("times").alias("times2"), F.col("vec").alias("vec2"))
     work = _block_pairs(blocks, eps).join(blocks.select(F.col("bid").alias("a"), "n", "h", "times", "vec"), "a").join(right, "b")
     held = emb.sparkSession.sparkContext.broadcast(grid)
+    moved = np.dtype(np.float32 if reps.schema["vec"].dataType.simpleString() == "array<float>" else np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = held.value
         for batch in batches:
             for r in batch.to_pylist():
                 same, n = r["a"] == r["b"], r["n"]
-                v = np.frombuffer(r["vec"]).reshape(-1, n)
-                w = v if same else np.frombuffer(r["vec2"]).reshape(-1, n)
+                v, w = (unit(np.frombuffer(r[c], moved).astype(np.float64).reshape(-1, n)) for c in ("vec", "vec" if same else "vec2"))
                 h = np.frombuffer(r["h"], np.int64)
                 t = np.frombuffer(r["times"], np.int64)
                 if not same:
