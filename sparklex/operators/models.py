@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.chars import decode_bytes, encode_bytes, split_spaces
+from ..functions.chars import encode_bytes, split_spaces
 
 CACHE, SHORT, NEVER = 1 << 18, 64, 1 << 60
 

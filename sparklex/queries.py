@@ -22,7 +22,7 @@ from .operators import normalizers as N
 from .operators import pretokenizers as T
 from .operators import encoding as E
 from .operators.encoding import word_spans
-from .operators.models import BPE, ByteLevelBPE, CharBPE, Unigram, WordLevel, WordPiece, bpe_fold, encoder, text_encoder
+from .operators.models import BPE, ByteLevelBPE, CharBPE, Unigram, WordLevel, WordPiece, bpe_fold, text_encoder
 from .operators.postprocessors import BertProcessing, RobertaProcessing, Template, pad, truncate
 from .operators.vocab import AddedToken, id_to_token, out_of_vocabulary, special_mask, token_to_id, tokens_of, vocab_table
 from .plans.chat import apply_template
