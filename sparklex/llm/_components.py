@@ -39,12 +39,15 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(tidy(run), "u long, v long")
 
 
-def _lowest(e: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """e (u, v) with m, the least of its u; u with so many rows that one task would hold them (fewer than HUBS such u) are broadcast."""
-    hubs = low.where(F.col("n") > max(64, total // HUBS)).select("u", F.col("m").alias("hub"))
-    e = e.join(F.broadcast(hubs), "u", "left")
-    rest = e.where("hub is null").drop("hub").join(low.drop("n"), "u")
-    return e.where("hub is not null").select("u", "v", F.col("hub").alias("m")).union(rest)
+def by_key(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to groups (key, n: its number of rows, ...). rows are at most `total`; keys with so many of them
+    that one task would hold them (fewer than HUBS such keys) are broadcast, and their rows stay where they are."""
+    many = F.col("n") > max(64, total // HUBS)
+    more = [c for c in groups.columns if c != key]
+    hubs = groups.where(many).select(key, F.struct(*more).alias("_hub"))
+    e = rows.join(F.broadcast(hubs), key, "left")
+    rest = e.where("_hub is null").drop("_hub").join(groups.where(~many), key).select(*rows.columns, *more)
+    return e.where("_hub is not null").select(*rows.columns, *[F.col("_hub")[c].alias(c) for c in more]).union(rest)
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -55,9 +58,9 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     if large:
-        out = _lowest(e.where("v > u"), low, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = by_key(e.where("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = _lowest(e, low, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        out = by_key(e, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._components import by_key
 from ._store import cut
 from ._text import distinct_pairs, slices, tidy, windows, words
 
@@ -76,8 +77,8 @@ def _pairs(doc: list, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
 def _copies(src: DataFrame) -> DataFrame:
     """(doc_id, copies): MD5s of those texts of a document that also stand under a smaller doc_id."""
     rows = src.select("doc_id", F.md5("text").alias("m")).where("m is not null")
-    low = rows.groupBy("m").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("m", "low")
-    return rows.join(low, "m").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("m").alias("copies"))
+    low = rows.groupBy("m").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    return by_key(rows, low, "m", src.count()).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("m").alias("copies"))
 
 
 def _anchor_rows(originals: DataFrame, window: int) -> DataFrame:
