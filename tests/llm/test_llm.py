@@ -468,9 +468,14 @@ def test_keep_one_decides_by_row(spark):
     assert kept((None, a), (None, a), (7, a), (6, a)) == {(None, a): 2, (6, a): 1}
 
 
-def test_near_copies_of_the_pipeline(docs, spark, data):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_of_the_pipeline(docs, spark, data, monkeypatch, block):
     import corpus_pipeline
+    from sparklex.llm import nearcopies
 
+    crossed, crossing = [], nearcopies._crossing
+    monkeypatch.setattr(nearcopies, "BLOCK", block)  # 3: large groups are compared in many blocks
+    monkeypatch.setattr(nearcopies, "_crossing", lambda rows: crossed.append(1) or crossing(rows))
     rnd = random.Random(8)
     base = [[f"w{rnd.randint(0, 3000)}" for _ in range(n)] for n in (60, 200, 500, 900) for _ in range(10)]
     extra = []
@@ -479,6 +484,8 @@ def test_near_copies_of_the_pipeline(docs, spark, data):
         for _ in range(len(w) // 60):
             x[rnd.randrange(len(x))] = "changed"
         extra += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    line = [f"c{rnd.randint(0, 3000)}" for _ in range(500)]
+    extra += [(100 + k, " ".join(line[10 * k : 10 * k + 200])) for k in range(30)]  # a chain: only neighbours are similar
     extra += [(200 + k, x) for k, (x,) in enumerate(docs.select("text").collect())]
     new = spark.createDataFrame(extra, "doc_id long, text string")
 
@@ -494,6 +501,7 @@ def test_near_copies_of_the_pipeline(docs, spark, data):
     want = sorted(least.values())
     assert sum(c[2 * k] == c[2 * k + 1] for k in range(40)) >= 20
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies_go(spark, new, data).collect()) == want
+    assert bool(crossed) == (block == 3)
 
 
 def test_op8_trie_finds_every_link():
