@@ -504,6 +504,58 @@ def test_near_copies_of_the_pipeline(docs, spark, data, monkeypatch, block):
     assert bool(crossed) == (block == 3)
 
 
+def test_near_copies_are_candidates_by_simhash(spark, monkeypatch):
+    from sparklex.llm import nearcopies
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (4, 5, 9, 10, 40, 41, 300, 500) * 8:  # pairs of similarity 0.8 or little more
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [x, np.concatenate([x[n // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]) if n > 5 else np.append(x, np.uint64(n))]
+    fp = nearcopies.fingerprints_of(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, words in zip(sets, fp):
+        for k, odd in enumerate(nearcopies.ODD):
+            h = nearcopies.mix(x * odd).tolist()
+            assert int(words[k]) == sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in h) > len(h))
+    far = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+    assert all(far(fp[i], fp[i + 1]) <= nearcopies.RADIUS for i in range(0, len(fp), 2))
+    # and one dense group
+    dense = np.tile(fp[0], (250, 1))
+    for i in range(250):
+        for b in rng.choice(256, min(i, 40), replace=False).tolist():
+            dense[i, b // 64] ^= np.uint64(1 << (b % 64))
+    fp = np.unique(np.concatenate([fp, dense]), axis=0)
+    links = [(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if far(fp[i], fp[j]) <= nearcopies.RADIUS]
+    parts = lambda linked: {frozenset(i for i, c in made.items() if c == r) for made in [classes(range(len(fp)), linked)] for r in made.values()}
+    want = parts(links)
+    for most in (1024, 8):  # 8: single ones gather others first
+        monkeypatch.setattr(nearcopies, "DENSE", most)
+        assert parts(zip(*(x.tolist() for x in nearcopies.near_forest(fp, nearcopies.RADIUS)))) == want
+    monkeypatch.setattr(nearcopies, "DENSE", 1024)
+    nodes = spark.createDataFrame([(i, *x) for i, x in enumerate(fp.view(np.int64).tolist())], "node long, " + ", ".join(f"{c} long" for c in nearcopies.WORDS))
+    assert parts(rows(nearcopies._near(nodes))) == want
+
+
+def test_large_groups_of_near_copies_take_few_jobs(spark, monkeypatch):
+    """Every job leaves the driver plans and records of its tasks; 118 with rounds of blocks."""
+    from sparklex.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BLOCK", 32)
+    rnd = random.Random(5)
+    line = [f"w{rnd.randint(0, 9000)}" for _ in range(200)]
+    docs = [(1000 + k, " ".join(f"r{rnd.randint(0, 9000)}" for _ in range(60))) for k in range(100)]
+    for k in range(300):
+        x = list(line)
+        for _ in range(k % 12):
+            x[rnd.randrange(200)] = f"c{rnd.randint(0, 9000)}"
+        docs.append((k, " ".join(x)))
+    scheduler = spark._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    found = nearcopies.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("component").count().collect()
+    assert scheduler.numTotalJobs() - before < 100
+    assert max(r["count"] for r in found) > 3 * 32
+
+
 def test_op8_trie_finds_every_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
