@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components, forest
+from ._components import by_key, components, forest
 from ._store import cut
 from ._text import slices, tidy, words
 
@@ -197,8 +197,8 @@ def keep_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     One of fully equal rows stays; rows without a doc_id all stay.
     """
     rows = cut(grouped.where("doc_id is not null").groupBy("component", "doc_id", "rk").agg(F.count("*").alias("times")))
-    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("best"))
-    fate = rows.join(best, "component").select(F.col("rk").alias("_rk"), ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("rk") == F.col("best.rk"))).alias("_stays"), "times")
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("best"), F.count("*").alias("n"))
+    fate = by_key(rows, best, "component", rows.count()).select(F.col("rk").alias("_rk"), ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("rk") == F.col("best.rk"))).alias("_stays"), "times")
     fate = cut(fate.where("times > 1 or not _stays").select("_rk", "_stays"))
     keyed = docs.withColumn(ROW, row_key(docs))
     alone = keyed.join(fate.select("_rk").distinct(), F.col(ROW) == F.col("_rk"), "left_anti")

@@ -504,6 +504,14 @@ def test_near_copies_of_the_pipeline(docs, spark, data, monkeypatch, block):
     assert bool(crossed) == (block == 3)
 
 
+def test_one_row_of_a_large_group_stays(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(k, f"a b c d e f {k // 200}") for k in range(210)], "doc_id long, text string")
+    grouped = d.select("doc_id", simhash.row_key(d).alias("rk"), F.floor(F.col("doc_id") / 200).alias("component"))
+    assert sorted(r["doc_id"] for r in simhash.keep_rows(d, grouped).collect()) == [0, 200]
+
+
 def test_near_copies_are_candidates_by_simhash(spark, monkeypatch):
     from sparklex.llm import nearcopies
 
