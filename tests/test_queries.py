@@ -39,3 +39,16 @@ def test_entry_without_optional_parts(spark):
     import __spark_entry__
 
     assert set(queries.queries()) <= set(__spark_entry__.queries()) and __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["contiguous", "isolated", "next", "previous"])
+def test_split_rows_with_the_mark(spark, tmp_path, name):
+    """Texts that are empty or hold U+0001, by which shown arrays are joined."""
+    texts = ["", "a b\x01c d, e", "\x01", "\x01\x01é.\x01,x\x01", ".é\x01.", "plain", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.execute(queries.oracle_sql()[f"pretok_split_{name}"])
+    cols = [x[0] for x in want.description]
+    assert collections.Counter(map(tuple, queries.queries()[f"pretok_split_{name}"](spark, str(tmp_path)).select(cols).collect())) == collections.Counter(want.fetchall())
