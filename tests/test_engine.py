@@ -425,3 +425,32 @@ def test_batch_encoding(spark):
     assert P.Padding(7).target(None, None) == 7 and P.Padding().target(b.rows, b["input_ids"]) == 2
     assert [type(f(x, [])).__name__ for f, x in ((M.byte_level_bpe, {}), (M.char_bpe, {}))] == ["ByteLevelBPE", "CharBPE"] and M.unigram([("a", 0.0), ("<unk>", -9.0)]).unk_id == 1
     assert M.wordpiece({"[UNK]": 0}).prefix == "##" and M.word_level({"a": 3}).encode_text("a b") == [3, 0]
+
+
+def test_batches_come_in_slices(spark):
+    """A batch of many rows is handed over by bounded slices, and its rows stay in order, nulls and long texts included."""
+    from sparklex.functions import batches
+
+    sizes = [5, 0, 3 << 20, None, 700_000, 700_000, 1, 2 << 20]
+    df = spark.createDataFrame([(k, None if n is None else "x" * n) for k, n in enumerate(sizes)], "k long, t string").coalesce(1)
+
+    def run(x):
+        import pyarrow as pa
+
+        held = sum(len(t) for t in x.to_pylist() if t is not None)
+        assert held <= batches.SLICE_BYTES or len(x) == 1
+        return pa.array([None if t is None else len(t) for t in x.to_pylist()], pa.int64())
+
+    assert [r["n"] for r in df.select("k", batches.bounded(run, "bigint")(F.col("t")).alias("n")).orderBy("k").collect()] == sizes
+
+
+def test_encoding_of_words_equals_that_of_pieces(spark):
+    """Whole slices of white-space words against pieces looked for one by one."""
+    from sparklex.queries import _word_tokenizer
+
+    t = _word_tokenizer()
+    odd = ["", None, " ", "a", "the quick brown fox\u0085jumps　", "Ġ Ġthe ▁▁of ĠĠ ▁", "é ée Ünd naïve x\x1cy", "日本 の the end", "word " * 700, "\nthe\tthe\r\n", "😀the the😀", "x"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k long, text string").coalesce(1)
+    a, b = t._of_words()(F.col("text")), t._of_pieces()(t.pieces(F.col("text")), F.col("text"))
+    got = df.select("k", a.alias("a"), b.alias("b"), t.encode(F.col("text")).alias("ids")).collect()
+    assert all(r["a"] == r["b"] and r["ids"] == (None if r["a"] is None else r["a"]["ids"]) for r in got)
