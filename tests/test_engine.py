@@ -454,3 +454,19 @@ def test_encoding_of_words_equals_that_of_pieces(spark):
     a, b = t._of_words()(F.col("text")), t._of_pieces()(t.pieces(F.col("text")), F.col("text"))
     got = df.select("k", a.alias("a"), b.alias("b"), t.encode(F.col("text")).alias("ids")).collect()
     assert all(r["a"] == r["b"] and r["ids"] == (None if r["a"] is None else r["a"]["ids"]) for r in got)
+
+
+def test_bpe_training_of_large_tables(spark, data, monkeypatch):
+    """Merges by rounds over the table, beyond both bounds of a collected one, against those on the driver."""
+    from sparklex.plans import training
+
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("text")
+    odd = spark.createDataFrame([("aaaa aaaaa aa b", 3), ("日本日本 日 aab", 1), ("abab ababab ba 😀😀", 2), (10 * "xxxxxxxx " + 20 * "cd ", 4)], "text string, n long").select("text")
+    for df, made in ((texts, dict(vocab_size=160)), (texts, dict(vocab_size=190, continuing_subword_prefix="##", min_frequency=3)), (odd, dict(vocab_size=60, min_frequency=1, end_of_word_suffix="</w>")), (odd, dict(vocab_size=60, min_frequency=2, limit_alphabet=2))):
+        trainer = training.BpeTrainer(**made)
+        want = trainer.train_words(training.collected(trainer.count(df)))
+        with monkeypatch.context() as m:
+            m.setattr(training, "LOCAL_WORDS", 0)
+            m.setattr(training, "MAX_WORDS", 0)
+            m.setattr(training, "TOP_PAIRS", 3)
+            assert trainer.train(df) == want and want[1]
